@@ -22,10 +22,8 @@ NAMES = frozenset("amp lt gt quot apos nbsp mdash ndash hellip copy reg trade rs
 class _Reader(HTMLParser):
     CDATA_CONTENT_ELEMENTS = ()  # a script that is never closed must not hide the page
 
-    def __init__(self, source: str):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.lower = source.lower()
-        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
         self.rows = Rows("element")
         self.heading, self.tone = "", None
         self.spans: list[dict] = []
@@ -36,7 +34,6 @@ class _Reader(HTMLParser):
         self.cell: list[dict] | None = None
         self.width, self.pictures = 1, 0
         self.named: dict[tuple, int] = {}
-        self.skip: str | None = None
 
     def line(self) -> int:
         return self.getpos()[0]
@@ -46,8 +43,6 @@ class _Reader(HTMLParser):
         return f"<{tag}>{f' #{n}' if n > 1 else ''} at line {line}{also}" + (f' (under "{self.heading}")' if self.heading else "")
 
     def add(self, text: str) -> None:
-        if self.skip:
-            return
         looks = {_LOOKS[t]: True for t in self.open if t in _LOOKS}
         (self.spans if self.cell is None else self.cell).append(span(text, **looks))
 
@@ -74,19 +69,10 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tag(tag, {}, True)
 
-    def closes_later(self, tag: str) -> bool:
-        line, column = self.getpos()
-        return f"</{tag}" in self.lower[self.starts[line - 1] + column + 1 :]
-
     def tag(self, tag: str, attrs: dict, closing: bool) -> None:
-        if self.skip:
-            self.skip = None if closing and tag == self.skip else self.skip
-        elif not closing and tag in HIDDEN:
-            if self.closes_later(tag):
-                self.skip = tag
-        elif tag in HIDDEN:
+        if tag in HIDDEN:
             return
-        elif tag == "br":
+        if tag == "br":
             if self.cell is not None:
                 self.cell.append(span(" "))
             else:
@@ -194,12 +180,30 @@ class _Reader(HTMLParser):
             self.rows.put(text, self.where(tag, line), style, spans, tone=self.tone)
 
 
+def _without_hidden(source: str) -> str:
+    """Closed hidden elements blanked, their line breaks kept; one that is never closed stays, so as not to hide the page."""
+    lower, out, at, gone = source.lower(), [], 0, set()
+    for m in re.finditer(r"<(" + "|".join(HIDDEN) + r")(?=[\s>/])[^>]*>", lower):
+        if m.start() < at or m[1] in gone or m[0].endswith("/>"):
+            continue
+        end = lower.find(f"</{m[1]}", m.end())
+        if end < 0:
+            gone.add(m[1])
+            continue
+        close = lower.find(">", end)
+        close = len(source) if close < 0 else close + 1
+        out += [source[at : m.start()], "\n" * source.count("\n", m.start(), close)]
+        at = close
+    return "".join([*out, source[at:]])
+
+
 def html_rows(source: str) -> list[dict]:
     source = re.sub(r"<!--.*?(?:-->|$)", lambda m: "\n" * m[0].count("\n"), source, flags=re.S)
+    source = _without_hidden(source)
     body = re.search(r"<body[\s>]", source, re.I)
     if body:
         source = "\n" * source.count("\n", 0, body.start()) + source[body.start() :]
-    reader = _Reader(source)
+    reader = _Reader()
     reader.feed(source)
     reader.close()
     reader.flush()
