@@ -1,8 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, EM weighs them; DataFrame functions only.
 
 Eight rules look at a whole text and vote good, bad or abstain. Votes are counted by pattern (at most 3**8 patterns,
-whatever the corpus), and expectation-maximisation on that table estimates, for each rule, how often it votes bad on
-good and on bad documents, and the share of good ones. A document's verdict is its posterior probability, not the
+whatever the corpus), and expectation-maximisation on that table estimates how often each rule votes bad. Bad documents
+are bad in different ways, and one rule may be the only one to see it, so the model has a class of good documents and
+a failure mode for each rule, which starts from that rule and learns how all rules vote in it; a rule that votes bad
+no more often in its mode than on good documents loses its say. Weak priors, a share of each class's own mass and so
+alike at every size, keep rates off 0 and 1. A document's verdict is its posterior probability of being good, not the
 wish that all rules pass; only the fixed base limits reject by themselves.
 
 Everything about a document is computed within its row: words are an array, windows of three words are hashed, their
@@ -24,16 +27,16 @@ from .store import materialize
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
-ROUNDS = 30
+ROUNDS = 25
 
 #: (rule, measure, bad if below, bad if above, good from, good up to); in between a rule abstains.
 RULES = (
-    ("length", "n_words", 50, math.inf, 80, 100_000),
+    ("length", "n_words", 30, math.inf, 80, 100_000),
     ("word_length", "mean_word", 2.5, 12, 3.5, 8),
     ("symbols", "symbol_share", -1, 0.1, 0, 0.02),
-    ("lines", "dup_line_share", -1, 0.3, 0, 0.1),
-    ("repeats", "repeat_share", -1, 0.3, 0, 0.1),
-    ("distinct", "distinct_share", 0.2, 2, 0.4, 1),
+    ("lines", "dup_line_share", -1, 0.5, 0, 0.1),
+    ("repeats", "repeat_share", -1, 0.4, 0, 0.1),
+    ("distinct", "distinct_share", 0.15, 2, 0.4, 1),
     ("shouting", "bang_share", -1, 0.3, 0, 0.05),
     ("stops", "stop_share", 0.005, 0.7, 0.02, 0.4),
 )
@@ -94,48 +97,74 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def votes(measured: DataFrame) -> DataFrame:
-    """``measured`` with a column vote_RULE for each rule: 1 good, -1 bad, 0 abstains."""
-    for rule, of, low, high, start, stop in RULES:
+    """``measured`` with a column votes, one for each rule: 1 good, -1 bad, 0 abstains."""
+    cast = []
+    for _, of, low, high, start, stop in RULES:
         x = F.col(of)
         bad = (x < F.lit(float(low))) | (x > F.lit(float(high)))
         good = (x >= F.lit(float(start))) & (x <= F.lit(float(stop)))
-        measured = measured.withColumn(f"vote_{rule}", F.when(bad, -1).when(good, 1).otherwise(0))
-    return measured
+        cast.append(F.when(bad, -1).when(good, 1).otherwise(0))
+    return measured.withColumn("votes", F.array(*cast))
 
 
-def _posterior(model: dict) -> Column:
-    """P(good) given the votes."""
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for rule, bad_good, bad_bad in model["rules"]:
-        vote = F.col(f"vote_{rule}")
-        odds = odds + F.when(vote < 0, F.lit(math.log(bad_good / bad_bad))).when(vote > 0, F.lit(math.log((1 - bad_good) / (1 - bad_bad)))).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
+def _doubles(values: list[float]) -> Column:
+    return F.array(*(F.lit(float(x)) for x in values))
+
+
+def _posteriors(model: dict) -> Column:
+    """P(class) given the votes: good first, then a failure mode for each rule."""
+    rules = len(RULES)
+    bad = _doubles([math.log(x) for rates in model["bad"] for x in rates])
+    good = _doubles([math.log(1 - x) for rates in model["bad"] for x in rates])
+    prior = _doubles([math.log(x) for x in model["share"]])
+
+    def likelihood(c: Column) -> Column:
+        def add(total: Column, r: Column) -> Column:
+            vote, at = F.get("votes", r), (c * rules + r).cast("int")
+            return total + F.when(vote < 0, F.get(bad, at)).when(vote > 0, F.get(good, at)).otherwise(F.lit(0.0))
+
+        return F.exp(F.get(prior, c) + F.aggregate(F.sequence(F.lit(0), F.lit(rules - 1)), F.lit(0.0), add))
+
+    joint = F.transform(F.sequence(F.lit(0), F.lit(len(model["share"]) - 1)), likelihood)
+    return F.element_at(F.transform(F.array(joint), lambda j: F.transform(j, lambda x: x / F.aggregate(j, F.lit(0.0), lambda a, y: a + y))), 1)
+
+
+def _start() -> dict:
+    rules = len(RULES)
+    modes = [[0.9 if r == k else 0.2 for r in range(rules)] for k in range(rules)]
+    return {"share": [0.8] + [0.2 / rules] * rules, "bad": [[0.02] * rules, *modes]}
 
 
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict:
-    """EM on the counts of vote patterns: the share of good documents and, for each rule, how often it votes bad on
-    good and on bad documents. One row of sums comes to the driver in each round. Beta priors keep rates off 0 and 1."""
-    names = [f"vote_{r[0]}" for r in RULES]
-    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")))
-    model = {"prior": 0.8, "rules": [(r[0], 0.02, 0.4) for r in RULES]}
+    """EM on the counts of vote patterns: the share of each class and how often each rule votes bad in it. In each
+    round one row per class and rule comes to the driver."""
+    patterns = materialize(voted.groupBy("votes").agg(F.count("*").alias("n"))).coalesce(1)  # at most 3**8 rows
+    model = _start()
+    classes, rules = len(RULES) + 1, len(RULES)
     for _ in range(rounds):
-        good = F.col("n") * _posterior(model)
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for rule, *_ in RULES:
-            for sign, vote in (("bad", -1), ("good", 1)):
-                here = F.col(f"vote_{rule}") == vote
-                sums += [F.sum(F.when(here, good)).alias(f"{rule}_{sign}_good"), F.sum(F.when(here, F.col("n") - good)).alias(f"{rule}_{sign}_bad")]
-        row = patterns.agg(*sums).first().asDict()
-        if not row["n"]:
+        spread = patterns.select("votes", "n", F.posexplode(_posteriors(model)).alias("class", "p"))
+        spread = spread.select("class", (F.col("n") * F.col("p")).alias("w"), F.posexplode("votes").alias("rule", "vote"))
+        sums = spread.groupBy("class", "rule").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("vote") < 0, F.col("w"))).alias("bad"), F.sum(F.when(F.col("vote") > 0, F.col("w"))).alias("good"))
+        mass, counted = [0.0] * classes, {}
+        for row in sums.collect():  # classes * rules rows
+            mass[row["class"]] = row["all"]
+            counted[row["class"], row["rule"]] = (row["bad"] or 0.0, row["good"] or 0.0)
+        total = sum(mass)
+        if not total:
             break
         rates = []
-        for rule, *_ in RULES:
-            bad_good, good_good, bad_bad, good_bad = (row[f"{rule}_{x}"] or 0.0 for x in ("bad_good", "good_good", "bad_bad", "good_bad"))
-            rates.append((rule, (bad_good + 0.5) / (bad_good + good_good + 50), (bad_bad + 2) / (bad_bad + good_bad + 5)))
-        new = {"prior": min(0.999, max(0.001, (row["good"] + 8) / (row["n"] + 10))), "rules": rates}
-        moved = max(abs(new["prior"] - model["prior"]), *(max(abs(a[1] - b[1]), abs(a[2] - b[2])) for a, b in zip(rates, model["rules"], strict=True)))
-        model = new
-        if moved < 1e-6:
+        for c in range(classes):
+            own = []
+            for r in range(rules):
+                bad, good = counted.get((c, r), (0.0, 0.0))
+                expected, weight = (0.01, 0.5) if c == 0 else (0.9, 0.5) if r == c - 1 else (0.2, 0.05)
+                weight = weight * mass[c] + 1
+                own.append((bad + weight * expected) / (bad + good + weight))
+            rates.append(own)
+        share = [(m + 0.001 * total) / (total * (1 + 0.001 * classes)) for m in mass]
+        moved = max(abs(a - b) for x, y in zip(rates, model["bad"], strict=True) for a, b in zip(x, y, strict=True))
+        model = {"share": share, "bad": rates}
+        if moved < 1e-3:
             break
     return model
 
@@ -145,7 +174,7 @@ def score_quality(docs: DataFrame, keep: list[str], least: float = 0.5) -> DataF
     voted = materialize(votes(measures(docs, keep)))
     model = estimate(voted)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = voted.withColumn("quality", _posterior(model)).withColumn("base_failed", failed)
+    out = voted.withColumn("quality", F.element_at(_posteriors(model), 1)).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
