@@ -1,7 +1,8 @@
 """Substring dedup on sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in ``.``, ``!``, ``?`` or a closing quote or bracket behind one,
-before a word that starts a new line, and, for text without punctuation, after a word whose hash is a multiple of 32.
+before a word that starts a new line, and into clauses of a few words after each word whose hash is a multiple of 8,
+so that passages without punctuation, or pasted into the middle of a sentence, align too.
 All three depend on the words at the cut only, so a passage is cut alike wherever it stands. From each sentence a span
 runs over several consecutive sentences: two at least, and on to ``min_words`` words. Every span is hashed over its
 words (case kept, whitespace not). The least doc_id of each hash is found over the whole corpus, and a span is a
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .npbytes import _STEPS, U64, mix, text_slices, word_hashes, word_starts
 from .store import materialize
 
-MIN_WORDS = 20
+MIN_WORDS = 13
 MIN_SENTENCES = 2
 _LAST = 2**63 - 1
 
@@ -55,7 +56,7 @@ def _sentences(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     first = np.empty(n, bool)
     first[0] = True
-    first[1:] = stop[:-1] | (newlines[starts[1:]] > newlines[last[:-1]]) | (words[:-1] & U64(31) == 0)
+    first[1:] = stop[:-1] | (newlines[starts[1:]] > newlines[last[:-1]]) | (words[:-1] & U64(7) == 0)
     first[before[:-1][before[:-1] < n]] = True
     word = np.flatnonzero(first)  # the first word of each sentence
     of = owner[word]
