@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["text_lines"](spark, sf_dir)
+    return QUERIES["html_rows"](spark, sf_dir)

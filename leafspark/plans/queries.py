@@ -295,3 +295,118 @@ def concat_and_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = numbers.col_letters(F.col("l_linenumber"))
     label = F.concat(numbers.js_number_text(F.col("l_quantity")), F.lit(" of "), F.col("l_returnflag"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), letters.alias("letters"), numbers.col_index(letters).alias("back"))
+
+
+# Readers, the formula engine and streaming over the same tables.
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.rows import read_rows
+    from ..sources.webpage import html_rows as read
+
+    pages = table(spark, sf_dir, "pages")
+    return read_rows(pages, "page_id", "html", read)
+
+
+@query()
+def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html(spark, sf_dir).select("page_id", "src", "text", "anchor", "style", "indent", "marker")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[\s>]'))::BIGINT AS titles, len(regexp_extract_all(html, '(?i)<li[\s>]'))::BIGINT AS items FROM pages""")
+def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _html(spark, sf_dir).groupBy("page_id").agg(F.count_if(F.col("style") == "h1").alias("titles"), F.count_if(F.col("style") == "li").alias("items"))
+    return table(spark, sf_dir, "pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("titles", F.lit(0)).alias("titles"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
+
+
+@query("""SELECT o_orderkey, 'Order ' || o_orderkey AS title, 2::BIGINT AS items, 'status ' || o_orderstatus || '; priority ' || o_orderpriority AS said FROM orders""")
+def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.markdown import markdown_rows as read
+    from ..sources.rows import read_rows
+
+    source = F.concat(F.lit("# Order "), F.col("o_orderkey"), F.lit("\n\n* status "), F.col("o_orderstatus"), F.lit("\n* priority **"), F.col("o_orderpriority"), F.lit("**"))
+    rows = read_rows(table(spark, sf_dir, "orders").select("o_orderkey", source.alias("md")), "o_orderkey", "md", read)
+    items = F.array_sort(F.collect_list(F.when(F.col("style") == "li", F.struct("src", "text"))))
+    return rows.groupBy("o_orderkey").agg(F.max(F.when(F.col("style") == "h1", F.col("text"))).alias("title"), F.count_if(F.col("style") == "li").alias("items"), F.array_join(F.transform(items, lambda x: x.text), "; ").alias("said"))
+
+
+@query("SELECT n_nationkey, 'content[0] (under \"' || n_name || '\")' AS anchor, 'In region ' || n_regionkey AS said FROM nation")
+def structured_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.rows import read_rows
+    from ..sources.structured import page_rows as read
+
+    def text(x):
+        return F.array(F.struct(F.lit("text").alias("type"), x.alias("text")))
+
+    heading = F.to_json(F.struct(F.lit("heading").alias("type"), text(F.col("n_name")).alias("content"), F.struct(F.lit(2).alias("level")).alias("attrs")))
+    body = F.to_json(F.struct(F.lit("paragraph").alias("type"), text(F.concat(F.lit("In region "), F.col("n_regionkey"))).alias("content")))
+    pages = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('{"type":"doc","content":['), heading, F.lit(","), body, F.lit("]}")).alias("page"))
+    rows = read_rows(pages, "n_nationkey", "page", read)
+    return rows.groupBy("n_nationkey").agg(F.max(F.when(F.col("style") == "h2", F.col("anchor"))).alias("anchor"), F.max(F.when(F.col("style") == "p", F.col("text"))).alias("said"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_extendedprice * (1 - l_discount) * 1.1, 3) ELSE -1 END AS net FROM lineitem""")
+def formula_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula filled down a table: one compiled expression, no Python on the way."""
+    from .formula import to_column
+
+    net = to_column("=IF([l_discount]>0,[l_extendedprice]*(1-[l_discount])*110%,-1)").x
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(net, 3).alias("net"))
+
+
+@query(f"""WITH {_ONE}, last AS (SELECT l_orderkey, max(r) AS m FROM one GROUP BY 1) SELECT o.l_orderkey, round(sum(q), 2) AS total, round(coalesce(sum(q) FILTER (WHERE q > 25), 0), 2) AS large FROM one o GROUP BY 1""")
+def workbook_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a workbook whose totals are formulas, evaluated per workbook."""
+    from .formula import calculate
+
+    values = _lineitem_cells(spark, sf_dir).where("c = 0").select("l_orderkey", F.lit("S").alias("sheet"), "r", "c", "x", F.lit(None).cast("string").alias("v"), F.lit(None).cast("string").alias("f"))
+    books = values.select("l_orderkey").distinct()
+    formula = F.explode(F.array(F.struct(F.lit(1).alias("c"), F.lit("=SUM(A:A)").alias("f")), F.struct(F.lit(2).alias("c"), F.lit('=SUMIF(A1:A99,">25")').alias("f"))))
+    asked = books.select("l_orderkey", F.lit("S").alias("sheet"), F.lit(98).alias("r"), formula.alias("g")).select("l_orderkey", "sheet", "r", "g.c", F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("v"), "g.f")
+    done = calculate(values.unionByName(asked), "l_orderkey")
+    return done.groupBy("l_orderkey").agg(F.round(F.max(F.when(F.col("c") == 1, F.col("x"))), 2).alias("total"), F.round(F.max(F.when(F.col("c") == 2, F.col("x"))), 2).alias("large"))
+
+
+@query("SELECT r_regionkey, 'Region ' || r_regionkey || ' | ' || rpad(r_name, (SELECT max(length(r_name)) FROM region)::INT, ' ') AS text FROM region")
+def table_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "region").select(F.lit(1).alias("k"), F.col("r_regionkey").alias("src"), F.array(F.concat(F.lit("Region "), F.col("r_regionkey")), F.col("r_name")).alias("cells"))
+    return lines.layout_tables(rows, "k").select(F.col("src").alias("r_regionkey"), "text")
+
+
+
+
+@query()
+def comment_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.watch import fold_comments
+
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "save").when(kind == "view", "queue").when(kind == "purchase", "send").otherwise("done")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("place"), F.col("event_id").alias("seq"), event.alias("event"), F.col("event_type").alias("text"), F.lit(1).cast("long").alias("batch"))
+    return fold_comments(events)
+
+
+@query("""WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), k AS (SELECT * FROM e WHERE before IS NULL OR before <> event_type)
+SELECT user_id AS path, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, last_value(CASE WHEN value >= 20 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS shown FROM k""")
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.watch import versions
+
+    snapshots = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.col("event_type").alias("mtime"), F.col("event_type").alias("content"), F.when(F.col("value") < 20, "cut off").alias("problem"))
+    return versions(snapshots).select("path", "seq", "version", "shown")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || regexp_replace(regexp_replace(format('{:,.2f}', abs(c_acctbal)), '0$', ''), '\\.0?$', '') AS shown, length(c_name)::INT AS width FROM customer""")
+def status_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", numbers.format_number(F.col("c_acctbal")).alias("shown"), T.str_width(F.col("c_name")).alias("width"))
+
+
+@query()
+def normalized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths made of page addresses, with steps that fold away put in."""
+    rest = F.regexp_replace("url", "^[a-z]+://", "/")
+    messy = F.concat(F.regexp_replace(rest, "/", "/./"), F.lit("/x/.."))
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_path(messy).alias("path"))
+
+
+SQL["normalized_paths"] = """SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '/+', '/', 'g'), '/') AS path FROM pages"""
