@@ -117,3 +117,31 @@ def unit_counts(rows: DataFrame, key: str) -> DataFrame:
 
 def viewport(rows: DataFrame, top: int, height: int) -> DataFrame:
     return rows.where(F.col("src").between(top, top + height - 1))
+
+
+def describe_selections(rows: DataFrame, selections: DataFrame, key: str) -> DataFrame:
+    """(id, from, to, label, quote) of selections (key, id, from, to) on rows (key, src, anchor, style, quote): ends on
+    spacers and rules move inwards; a selection of spacers only goes to the content above, else below. Only the rows
+    of a selection are joined to it, apart from the nearest content on either side, which are two aggregates."""
+    content = rows.where(is_content(F.col("style"))).select(key, "src", "anchor", "quote")
+    near = selections.select(key, "id", "from", "to").join(content.select(key, "src"), key)
+    inside = F.col("src").between(F.col("from"), F.col("to"))
+    ends = near.groupBy(key, "id", "from", "to").agg(
+        F.min(F.when(inside, F.col("src"))).alias("a"),
+        F.max(F.when(inside, F.col("src"))).alias("b"),
+        F.max(F.when(F.col("src") < F.col("from"), F.col("src"))).alias("above"),
+        F.min(F.when(F.col("src") > F.col("to"), F.col("src"))).alias("below"),
+    )
+    other = F.coalesce("above", "below")
+    ends = ends.select(key, "id", F.coalesce("a", other).alias("from"), F.coalesce("b", other).alias("to"))
+    said = ends.withColumn("src", F.explode(F.sequence("from", "to"))).join(content, [key, "src"])
+    one = said.groupBy(key, "id", "from", "to").agg(F.array_sort(F.collect_list(F.struct("src", "quote", "anchor"))).alias("said"))
+    label = merged_label(F.element_at("said", 1).anchor, F.element_at("said", -1).anchor)
+    return one.select(key, "id", "from", "to", label.alias("label"), F.array_join(F.transform("said", lambda x: x.quote), "\n").alias("quote"))
+
+
+def list_head(comments: DataFrame, by: list[str], most: int = 12) -> DataFrame:
+    """The first comments of each list, and how many more there are."""
+    place = Window.partitionBy(*by).orderBy("id")
+    counted = comments.withColumns({"place": F.row_number().over(place), "in_all": F.count("*").over(Window.partitionBy(*by))})
+    return counted.where(F.col("place") <= most).withColumn("more", F.greatest(F.lit(0), F.col("in_all") - most)).drop("in_all")

@@ -46,12 +46,12 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.text_lines(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("""WITH n AS (SELECT l_suppkey % 3 AS g, string_agg('row ' || l_orderkey, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM lineitem GROUP BY 1)
-SELECT g, 'Only the first 1,000 of ' || format('{:,}', len(string_split(text, chr(10)))) || ' rows are shown.' AS message FROM n WHERE len(string_split(text, chr(10))) > 1000""")
+@query("""WITH n AS (SELECT l_partkey, string_agg('row ' || l_orderkey, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM lineitem GROUP BY 1)
+SELECT l_partkey, 'Only the first 20 of ' || format('{:,}', len(string_split(text, chr(10)))) || ' rows are shown.' AS message FROM n WHERE len(string_split(text, chr(10))) > 20""")
 def line_cap_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("g"), F.concat(F.lit("row "), F.col("l_orderkey")).alias("line"))
-    texts = rows.groupBy("g").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
-    return lines.row_cap_notes(texts, "g", most=1000)
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat(F.lit("row "), F.col("l_orderkey")).alias("line"))
+    texts = rows.groupBy("l_partkey").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    return lines.row_cap_notes(texts, "l_partkey", most=20)
 
 
 @query(f"SELECT conv_id, turn, {_STRIP.format('text')} AS safe, regexp_replace({_STRIP.format('text')}, chr(10), ' ', 'g') AS one_line FROM conversations")
@@ -198,13 +198,13 @@ def cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.cell_changes(before, after, ["l_orderkey"]).select("l_orderkey", "r", "c")
 
 
-@query(f"""WITH {_LINES}, {_EDIT}, asked AS (SELECT doc_id, src AS near, text FROM lines WHERE src % 4 = 0),
+@query(f"""WITH {_LINES}, {_EDIT}, asked AS (SELECT doc_id, src AS near, text FROM lines),
 found AS (SELECT a.doc_id, a.near AS id, e.src, row_number() OVER (PARTITION BY a.doc_id, a.near ORDER BY abs(e.src - a.near), e.src) AS k FROM asked a JOIN edited e ON a.doc_id = e.doc_id AND a.text = e.text)
 SELECT doc_id, id, src FROM found WHERE k = 1""")
 def nearest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lines.text_lines(table(spark, sf_dir, "documents"), "doc_id")
     after = _edited(before).select("doc_id", "src", F.col("text").alias("quote"), F.lit("p").alias("style"))
-    asked = before.where("src % 4 = 0").select("doc_id", F.col("src").alias("id"), F.col("text").alias("quote"), F.col("src").alias("near"))
+    asked = before.select("doc_id", F.col("src").alias("id"), F.col("text").alias("quote"), F.col("src").alias("near"))
     return changes.nearest_rows(after, asked, "doc_id")
 
 
@@ -410,3 +410,31 @@ def normalized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["normalized_paths"] = """SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '/+', '/', 'g'), '/') AS path FROM pages"""
+
+
+@query()
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.layout import wrap_rows
+
+    rows = lines.text_lines(table(spark, sf_dir, "documents"), "doc_id").withColumn("style", F.lit("p"))
+    return wrap_rows(rows, "doc_id", 60)
+
+
+@query("""WITH p AS (SELECT page_id, '/home/ann/work/' || CASE WHEN page_id % 3 = 0 THEN '.git/' ELSE '' END || page_id || '.md' AS path FROM pages)
+SELECT page_id, path, page_id % 3 <> 0 AS allowed, '/home/ann/work' = '/home/ann' AS too_broad, '/home/ann/notes/' || page_id || '.md' AS typed FROM p""")
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import paths
+
+    hidden = F.when(F.col("page_id") % 3 == 0, ".git/").otherwise("")
+    path = F.concat(F.lit("/home/ann/work/"), hidden, F.col("page_id"), F.lit(".md"))
+    root = F.lit("/home/ann/work")
+    typed = F.concat(F.lit(" '~/notes/x/../"), F.col("page_id"), F.lit(".md' "))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), paths.is_allowed(path, root).alias("allowed"), paths.is_too_broad(root).alias("too_broad"), paths.typed_path(typed, root).alias("typed"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, 0 AS id, 0 AS "from", least(2, max(src)) AS "to", CASE WHEN max(src) = 0 THEN 'line 1' ELSE 'lines 1–' || (least(2, max(src)) + 1) END AS label,
+string_agg(text, chr(10) ORDER BY src) FILTER (WHERE src <= 2) AS quote FROM lines GROUP BY 1""")
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.text_lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "src", "anchor", F.lit("p").alias("style"), F.col("text").alias("quote"))
+    asked = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("from"), F.lit(2).alias("to"))
+    return lines.describe_selections(rows, asked, "doc_id")
