@@ -8,12 +8,16 @@ rows; other columns are ignored, whatever their names.
 
 A signature draws, for each shingle, a random permutation of the slots and lowers slot p(j) to j + u_j. The ranks of
 one shingle are correlated, which lowers the variance of the similarity estimate, and most shingles stop after a
-level or two: once every slot holds a value below j, level j can't change any. Levels are vectorised over all texts
-of a slice. With 96 slots in 24 bands of 4, a pair at similarity 0.8 is missed with probability 0.5904**24, about
-3e-6, and each candidate pair is confirmed on both full sets.
-
-Candidates are stars, not all pairs: each bucket ties its members to its least node. Buckets that still hold more
-than one component after that are finished by comparing members of different components, so no cap applies.
+few levels: once every slot holds a value below j, level j can't change any. Levels are vectorised over all texts
+of a slice. With 240 slots in 40 bands of 6, a pair at similarity 0.8 shares no band with probability 0.738**40,
+about 5e-6. A candidate pair goes on to be confirmed on both full sets if the lowest bits of the slots differ no more
+often than 5.3 standard deviations above what similarity 0.8 gives, which loses less than 1e-6 of such pairs.
+
+Candidates are stars, not all pairs: each bucket ties its members to the one that shares most buckets with others, the
+likely original. Where a bucket then still holds several components, its members are compared in blocks: all that
+share a hub are dealt into tiles of at most ``CHUNK`` by ``CHUNK`` nodes, first on sketches and sizes, which only tells
+which nodes have a possible partner in another component, then those nodes on full sets. A tile gives a forest of its
+links, never its pairs, so no cap applies and rows stay in proportion to nodes.
 """
 
 from __future__ import annotations
@@ -29,12 +33,17 @@ from .components import connected_components
 from .npbytes import U64, mix, shingle_sets, text_slices
 from .store import materialize
 
-SLOTS = 96
-BANDS = 24
+SLOTS = 240
+BANDS = 40
+#: Standard deviations by which a true pair's sketch may differ more than expected.
+MARGIN = 5.3
+#: Nodes on one side of a tile.
+CHUNK = 512
 #: Partners of one node that are verified in a task's group; more go to further groups.
 BLOCK = 256
 
 _LOW = U64(0xFFFFFFFF)
+_SIGN_BYTES = 1 << 20
 
 
 def _draw(elements: np.ndarray, level: int) -> np.ndarray:
@@ -83,6 +92,21 @@ def _bands(signature: np.ndarray, bands: int) -> np.ndarray:
     return mix(out + np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
+def _sketches(signature: np.ndarray) -> np.ndarray:
+    """The lowest bit of each slot, 60 slots to a long."""
+    sets, slots = signature.shape
+    longs = -(-slots // 60)
+    bits = np.zeros((sets, longs * 60), U64)
+    bits[:, :slots] = mix(signature) & U64(1)
+    return (bits.reshape(sets, longs, 60) << np.arange(60, dtype=U64)).sum(axis=2, dtype=U64)
+
+
+def most_different(slots: int, percent: int) -> int:
+    """Sketch bits in which a pair of the least similarity may differ."""
+    p = (1 - percent / 100) / 2
+    return int(slots * p + MARGIN * (slots * p * (1 - p)) ** 0.5) + 1
+
+
 def _fingerprints(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set: sums of two hashes of its elements, and its size."""
     sums = [np.concatenate([[U64(0)], np.cumsum(mix(elements ^ U64(seed)), dtype=U64)]) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -97,10 +121,11 @@ def _lists(values: np.ndarray) -> pa.Array:
 def _sign(k: int, slots: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in text_slices(batch.column(1)):
+            for row, end, data, offsets in text_slices(batch.column(1), _SIGN_BYTES):
                 elements, at = shingle_sets(data, offsets, k)
-                marks = _bands(signatures(elements, at, slots), bands)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "n": pa.array(np.diff(at)), "node": pa.array(_fingerprints(elements, at).view(np.int64)), "bands": _lists(marks)})
+                signature = signatures(elements, at, slots)
+                marks = _bands(signature, bands)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "n": pa.array(np.diff(at)), "node": pa.array(_fingerprints(elements, at).view(np.int64)), "bands": _lists(marks), "sketch": _lists(_sketches(signature))})
 
     return run
 
@@ -116,6 +141,115 @@ def _sets(k: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray | pa.Array]]:
+    """Runs of rows with equal first ``keys`` columns, of rows sorted by them; one run is held at a time."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        if left and any(left[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+            left = []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+            yield pa.Table.from_batches([*left, batch.slice(a, b - a)]).combine_chunks().to_batches()[0] if left else batch.slice(a, b - a)
+            left = []
+        left.append(batch.slice(cuts[-1] if len(cuts) else 0))
+    if left:
+        yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+
+
+def _possible(run: pa.RecordBatch, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a tile, their groups, and the places (left, right) of pairs in different groups that sizes and
+    sketches allow."""
+    side, node, group, n = (run.column(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "group", "n"))
+    sketch = run.column("sketch")
+    sketch = sketch.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = not len(right)
+    if inside:
+        right = left
+    apart = np.zeros((len(left), len(right)), np.int16)
+    for k in range(sketch.shape[1]):
+        apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None])
+    a, b = n[left][:, None], n[right][None]
+    fits = (apart <= most) & (group[left][:, None] != group[right][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    i, j = np.nonzero(fits)
+    i, j = left[i], right[j]
+    return node, group, *((i[i < j], j[i < j]) if inside else (i, j))
+
+
+def _flag(percent: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs, nodes = [], []
+        for tile in _groups(batches, 3):
+            if tile.num_rows > 1:
+                node, _, i, j = _possible(tile, percent, most)
+                found = np.unique(np.concatenate([i, j]))
+                if len(found):
+                    hubs.append(np.full(len(found), tile.column("hub")[0].as_py(), np.int64))
+                    nodes.append(node[found])
+            if len(hubs) > 2000:
+                yield pa.RecordBatch.from_pydict({"hub": np.concatenate(hubs), "node": np.concatenate(nodes)})
+                hubs, nodes = [], []
+        if hubs:
+            yield pa.RecordBatch.from_pydict({"hub": np.concatenate(hubs), "node": np.concatenate(nodes)})
+
+    return run
+
+
+def _compare(percent: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        for tile in _groups(batches, 3):
+            if tile.num_rows < 2:
+                continue
+            node, group, i, j = _possible(tile, percent, most)
+            items = tile.column("items")
+            start = items.offsets.to_numpy()
+            start = start - start[0]
+            _, values = np.unique(items.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            size = np.diff(start)
+            known = np.zeros(values.max() + 1 if len(values) else 1, bool)
+            parent = {int(g): int(g) for g in group}
+
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            for x, a, b in zip(*np.unique(i, return_index=True), np.append(np.unique(i, return_index=True)[1][1:], len(i)), strict=True):
+                with_ = j[a:b]
+                known[values[start[x] : start[x + 1]]] = True
+                lengths = size[with_]
+                ends = np.cumsum(lengths)
+                at = np.repeat(start[with_] - (ends - lengths), lengths) + np.arange(ends[-1])
+                common = np.add.reduceat(known[values[at]].astype(np.int64), ends - lengths)
+                known[values[start[x] : start[x + 1]]] = False
+                for y in with_[100 * common >= percent * (size[x] + lengths - common)].tolist():
+                    p, q = root(int(group[x])), root(int(group[y]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(node[x]), int(node[y])))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Rows (hub, node, ...) dealt to tiles: each meets all of its hub's other rows, in chunks; sorted for _groups()."""
+    counts = members.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
+    dealt = members.join(counts, "hub").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    dealt = dealt.withColumn("to", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.withColumns({"left": F.least("chunk", "to"), "right": F.greatest("chunk", "to"), "side": F.expr("cast(chunk > to as int)")})
+    keys = ["hub", "left", "right"]
+    return dealt.select(*keys, "side", *[c for c in members.columns if c != "hub"]).repartition(*keys).sortWithinPartitions(*keys)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sets have 100 * intersection >= percent * union. b is the hub of a star: its partners are
     split into blocks of about BLOCK, so that no task gets all of a hub's rows."""
@@ -130,28 +264,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text string)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, n long, node long, bands array<long>"))
-    nodes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    places = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(places.join(buckets, "bucket").select("bucket", "node", "n", "hub"))
-    stars = materialize(shared.where("node <> hub").groupBy("node", "hub").agg(F.lit(1).alias("x")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-
-    ids = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
-    wanted = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = materialize(wanted.mapInArrow(_sets(k), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
-
-    links = materialize(_verified(stars, sets, percent))
+    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, n long, node long, bands array<long>, sketch array<long>"))
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes)
+    places = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(places.join(buckets, "bucket").select("bucket", "node", "members"))
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    hubs = shared.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
+    shared = materialize(shared.join(hubs, "bucket").select("bucket", "node", "hub"))
+    stars = shared.where("node <> hub").groupBy("node", "hub").agg(F.lit(1).alias("x"))
+    sketches = nodes.select("node", "sketch")
+    stars = stars.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+    most = most_different(slots, percent)
+    apart = "+".join(f"bit_count({{0}}[{i}] ^ {{1}}[{i}])" for i in range(-(-slots // 60)))
+    stars = materialize(stars.where(f"{apart.format('sketch', 'hub_sketch')} <= {most}").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """The sets of some nodes, made again from their texts."""
+        ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
+        rows = texts.join(materialize(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        return materialize(rows.mapInArrow(_sets(k), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
+
+    in_stars = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = materialize(_verified(stars, full_sets(in_stars), percent))
     groups = connected_components(links)
-    # What stars may miss: members of one bucket in different components that haven't been compared.
-    placed = shared.select("bucket", "node", "n").join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("group"))
+    # What stars may miss: members of one bucket in different components.
+    placed = shared.join(groups, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("group"))
     split = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(split, "bucket")
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    near = placed.join(other, "bucket").where(f"node > b and group <> group_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").groupBy("node", "b").agg(F.lit(1).alias("x")).select(F.col("node").alias("a"), "b")
-    near = materialize(near.join(stars, ["a", "b"], "left_anti"))
-    if not near.isEmpty():
-        more = materialize(_verified(near, sets, percent))
+    rest = placed.where("node <> hub").join(split, "bucket").groupBy("hub", "node").agg(F.first("group").alias("group"))
+    mixed = rest.groupBy("hub").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("hub")
+    rest = materialize(rest.join(mixed, "hub").join(nodes.select("node", "n", "sketch"), "node"))
+    flagged = materialize(_tiles(rest).mapInArrow(_flag(percent, most), "hub long, node long").distinct())
+    if not flagged.isEmpty():
+        sets = full_sets(flagged.select("node").distinct())
+        open_ = rest.join(flagged, ["hub", "node"]).join(sets, "node").select("hub", "node", "group", "n", "sketch", "items")
+        more = materialize(_tiles(open_).mapInArrow(_compare(percent, most), "a long, b long"))
         if not more.isEmpty():
             groups = connected_components(links.unionAll(more))
 
