@@ -58,9 +58,9 @@ def reanchor_rows(rows: DataFrame, comments: DataFrame, key: str) -> DataFrame:
     asked = asked.join(tail.withColumnRenamed("src", "tail"), [key, "id"], "left").join(alone.withColumnRenamed("src", "alone"), [key, "id"], "left")
     last_row = rows.groupBy(key).agg(F.max("src").alias("last_row"))
     near_tail = F.col("tail").isNotNull() & (F.col("tail") - F.col("head") <= span * 2 + 20)
-    start = F.coalesce("head", F.greatest(F.lit(0), F.col("alone") - span))
+    start = F.coalesce("head", F.when(F.col("alone").isNotNull(), F.greatest(F.lit(0), F.col("alone") - span)))
     end = F.when(F.col("head").isNull(), F.col("alone")).when((F.col("n") > 1) & near_tail, F.col("tail")).otherwise(F.col("head") + span)
-    placed = asked.join(last_row, key).select(key, "id", "quote", "a", "b", start.alias("start"), F.least(end, F.col("last_row")).alias("end"))
+    placed = asked.join(last_row, key).select(key, "id", "quote", "a", "b", start.alias("start"), F.when(start.isNotNull(), F.least(end, F.col("last_row"))).alias("end"))
     covered = placed.where("start is not null").select(key, "id", F.explode(F.sequence("start", "end")).alias("src"))
     text = covered.join(rows.where(is_content(F.col("style"))).select(key, "src", F.col("quote").alias("line")), [key, "src"]).groupBy(key, "id")
     text = text.agg(F.array_sort(F.collect_list(F.struct("src", "line"))).alias("said"))

@@ -21,7 +21,7 @@ def test_strip_controls(spark, text, want):
 
 
 def test_lines_and_widths(spark):
-    assert one(spark, "a\nb\tc", T.sanitize_line) == "a b c"
+    assert one(spark, "a\nb\x07c", T.sanitize_line) == "a b c"
     assert one(spark, "x" * 300, T.sanitize_line) == "x" * 199 + "…"
     assert one(spark, "日本e\u0301😀", T.str_width) == 7
     assert one(spark, "日本語", lambda c: T.cut_to(c, 5)) == "日本…"
