@@ -2,7 +2,7 @@
 
 Objects are found through the cross-reference tables or streams, and by a scan of the whole file where those are broken.
 Streams: Flate, LZW, ASCIIHex, ASCII85 and RunLength with PNG predictors. Text is decoded by ToUnicode maps, else by the
-font's encoding. Encrypted files aren't opened.
+font's encoding. Encrypted files are opened if their user password is empty.
 """
 
 from __future__ import annotations
@@ -170,14 +170,41 @@ class Document:
         self.cache: dict[int, object] = {}
         self.trailer: dict = {}
         self.decoded = 0
+        self.security, self.unread = None, -1
         try:
             self._tables()
             if not isinstance(self.get(self.trailer.get("Root")), dict):
                 raise ValueError("no catalogue")
         except (ValueError, KeyError, IndexError, TypeError, EOFError, AttributeError, zlib.error):
             self._repair()
-        if "Encrypt" in self.trailer:
-            raise ValueError("the file is encrypted")
+        if self.trailer.get("Encrypt") is not None:
+            self._unlock()
+
+    def _unlock(self) -> None:
+        from .pdf_crypt import Security
+
+        info = {k: self.get(v) for k, v in self.get(self.trailer["Encrypt"]).items()}
+        if isinstance(info.get("CF"), dict):
+            info["CF"] = {k: self.get(v) for k, v in info["CF"].items()}
+        ids = self.get(self.trailer.get("ID")) or [b""]
+        holder = self.trailer["Encrypt"]
+        self.unread = holder[0] if isinstance(holder, Ref) else -1
+        self.security = Security(info, ids[0] if isinstance(ids[0], bytes) else b"")
+        self.cache = {}
+
+    def _plain(self, value, number: int, generation: int):
+        """A value of an object with its strings and stream decrypted."""
+        if isinstance(value, bytes):
+            return self.security.decrypt(number, generation, value)
+        if isinstance(value, dict):
+            return {k: self._plain(v, number, generation) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self._plain(v, number, generation) for v in value]
+        if isinstance(value, Stream):
+            if value.info.get("Type") == "XRef":
+                return value
+            return Stream(self._plain(value.info, number, generation), self.security.decrypt(number, generation, value.raw))
+        return value
 
     def _tables(self) -> None:
         start = self.data.rindex(b"startxref")
@@ -266,7 +293,10 @@ class Document:
                 self.cache[number] = None
                 place = self.places.get(number)
                 if place and place[0] == "at":
-                    self.cache[number] = self._object(place[1])
+                    found = self._object(place[1])
+                    if self.security and number != self.unread:
+                        found = self._plain(found, number, value[1])
+                    self.cache[number] = found
                 elif place:
                     holder = self.get(Ref((place[1], 0)))
                     data = self.content(holder)

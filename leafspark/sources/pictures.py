@@ -1,4 +1,4 @@
-"""Pictures: kind by first bytes and PNG sizes as Column expressions; PNG pixels by numpy."""
+"""Pictures: kind by first bytes and PNG sizes as Column expressions; PNG and GIF pixels by numpy."""
 
 from __future__ import annotations
 
@@ -120,6 +120,81 @@ def _rgba(v: np.ndarray, colour: int, depth: int, palette: np.ndarray | None, cl
     return out
 
 
+def _gif_indices(data: bytes, least: int, count: int) -> np.ndarray:
+    """Palette indices of variable-width codes, lowest bits first."""
+    clear, stop = 1 << least, (1 << least) + 1
+    table: list[bytes] = []
+    out, width, bits, have, last = bytearray(), least + 1, 0, 0, b""
+    for byte in data:
+        bits, have = bits | byte << have, have + 8
+        while have >= width:
+            code, bits, have = bits & ((1 << width) - 1), bits >> width, have - width
+            if code == stop or len(out) >= count:
+                return np.frombuffer(bytes(out[:count]).ljust(count, b"\0"), np.uint8)
+            if code == clear or not table:
+                table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, b""
+                if code == clear:
+                    continue
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = entry
+    return np.frombuffer(bytes(out[:count]).ljust(count, b"\0"), np.uint8)
+
+
+def decode_gif(data: bytes) -> np.ndarray:
+    """The first frame, as rows of red, green, blue and alpha."""
+    if data[:3] != b"GIF":
+        raise ValueError("not a GIF")
+    width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > MOST_PIXELS:
+        raise ValueError("too many pixels")
+    at, shared, clear = 13, b"", -1
+    if flags & 0x80:
+        shared = data[at : at + (6 << (flags & 7))]
+        at += len(shared)
+    out = np.zeros((height, width, 4), np.uint8)
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while at < len(data) and data[at]:
+            parts.append(data[at + 1 : at + 1 + data[at]])
+            at += 1 + data[at]
+        return b"".join(parts), at + 1
+
+    while at < len(data) and data[at] != 0x3B:
+        if data[at] == 0x21:
+            kind = data[at + 1]
+            body, at = blocks(at + 2)
+            if kind == 0xF9 and body and body[0] & 1:
+                clear = body[3]
+        elif data[at] == 0x2C:
+            x, y, w, h, own = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            at += 10
+            colours = shared
+            if own & 0x80:
+                colours = data[at : at + (6 << (own & 7))]
+                at += len(colours)
+            body, _ = blocks(at + 1)
+            index = _gif_indices(body, data[at], w * h).reshape(h, w)
+            if own & 0x40:
+                rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+                index = index[np.argsort(rows)]
+            palette = np.frombuffer(colours, np.uint8).reshape(-1, 3)
+            part = np.full((h, w, 4), 255, np.uint8)
+            part[:, :, :3] = palette[np.minimum(index, len(palette) - 1)]
+            part[index == clear, 3] = 0
+            fit = part[: max(0, height - y), : max(0, width - x)]
+            out[y : y + fit.shape[0], x : x + fit.shape[1]] = fit
+            return out
+        else:
+            break
+    raise ValueError("no frame")
+
+
 def shrink(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
     """On white, and averaged over boxes until no side is longer."""
     alpha = pixels[:, :, 3:].astype(np.float64) / 255

@@ -2,11 +2,13 @@ import json
 import time
 
 import numpy as np
+import pytest
 
+from leafspark.sources import pdf_crypt as crypt
 from leafspark.sources.excel import workbook_cells
 from leafspark.sources.markdown import markdown_rows
 from leafspark.sources.pdf import page_lines, pdf_rows
-from leafspark.sources.pictures import decode_png, shrink
+from leafspark.sources.pictures import decode_gif, decode_png, shrink
 from leafspark.sources.structured import page_rows
 from leafspark.sources.webpage import html_rows
 from leafspark.sources.word import word_rows
@@ -113,3 +115,50 @@ def test_pictures():
     grey = decode_png(office.png(3, 2, lambda x, y: (x * 100,), kind=0))
     assert grey[0, 2, 0] == 200
     assert np.all(shrink(np.zeros((4, 4, 4), np.uint8)) == 255)
+
+
+def test_gif_pictures():
+    # Two by two, four colours, three-bit codes: clear, 0, 1, 2, 3, end.
+    codes, bits = [4, 0, 1, 2, 3, 5], 0
+    packed, have = [], 0
+    width = 3
+    for n, c in enumerate(codes):
+        bits |= c << have
+        have += width
+        if n == 3:
+            width = 4  # the table has eight entries by then
+        while have >= 8:
+            packed.append(bits & 255)
+            bits, have = bits >> 8, have - 8
+    packed.append(bits & 255)
+    data = b"GIF89a" + bytes([2, 0, 2, 0, 0x81, 0, 0]) + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9]) + b"\x21\xf9\x04\x01\x00\x00\x03\x00" + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 2, 0, 0]) + bytes([2, len(packed)]) + bytes(packed) + b"\x00\x3b"
+    pixels = decode_gif(data)
+    assert pixels[0, 0].tolist() == [255, 0, 0, 255] and pixels[0, 1].tolist() == [0, 255, 0, 255] and pixels[1, 0].tolist() == [0, 0, 255, 255] and pixels[1, 1, 3] == 0
+
+
+def test_ciphers():
+    key = bytes(range(16))
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert crypt.aes_encrypt(key, bytes(16), block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    long = bytes(range(256))
+    for size in (16, 32):
+        assert crypt.aes_decrypt(bytes(range(size)), key, crypt.aes_encrypt(bytes(range(size)), key, long)) == long
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+
+
+def test_encrypted_pdf_with_an_empty_password():
+    from hashlib import md5
+
+    file_id, owner, permissions = b"0123456789abcdef", bytes(32), -4
+    key = md5(crypt._PAD + owner + (permissions & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()[:5]
+    user = crypt.rc4(key, crypt._PAD)
+    plain = office.pdf([["secret line"]])
+    start, end = plain.index(b"stream\n", plain.index(b"4 0 obj")) + 7, plain.index(b"\nendstream")
+    own = md5(key + (4).to_bytes(3, "little") + bytes(2)).digest()[:10]
+    body = plain[:start] + crypt.rc4(own, plain[start:end]) + plain[end:]
+    info = b"/Encrypt<</Filter/Standard/V 1/R 2/O<" + owner.hex().encode() + b">/U<" + user.hex().encode() + b">/P -4>>/ID[<" + file_id.hex().encode() + b">]"
+    data = body.replace(b"/Root 1 0 R>>", b"/Root 1 0 R" + info + b">>")
+    assert texts(pdf_rows(data)) == ["Page 1", "secret line"]
+    wrong = data.replace(user.hex().encode(), bytes(32).hex().encode())
+    with pytest.raises(ValueError, match="password"):
+        pdf_rows(wrong)
