@@ -6,6 +6,7 @@ import pytest
 
 from leafspark.sources import pdf_crypt as crypt
 from leafspark.sources.excel import workbook_cells
+from leafspark.sources.jpeg import decode_jpeg
 from leafspark.sources.markdown import markdown_rows
 from leafspark.sources.pdf import page_lines, pdf_rows
 from leafspark.sources.pictures import decode_gif, decode_png, shrink
@@ -162,3 +163,31 @@ def test_encrypted_pdf_with_an_empty_password():
     wrong = data.replace(user.hex().encode(), bytes(32).hex().encode())
     with pytest.raises(ValueError, match="password"):
         pdf_rows(wrong)
+
+
+def jpeg(progressive, blocks, width):
+    """Grey blocks of flat light, from their DC differences; codes are 4 bits for each size and one for the end."""
+
+    def marker(kind, body):
+        return bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    dc = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
+    ac = bytes([0, 1] + [0] * 14) + bytes([0])
+    out, before = "", 0
+    for level in blocks:
+        diff, before = level - before, level
+        size = abs(diff).bit_length()
+        out += f"{size:04b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + ("" if progressive else "00")
+    out += "1" * (-len(out) % 8)
+    scan = bytes(int(out[i : i + 8], 2) for i in range(0, len(out), 8)).replace(b"\xff", b"\xff\x00")
+    head = marker(0xDB, bytes([0]) + bytes([8]) * 64) + marker(0xC2 if progressive else 0xC0, bytes([8, 0, 8, 0, width, 1, 1, 0x11, 0]))
+    return b"\xff\xd8" + head + marker(0xC4, bytes([0]) + dc) + marker(0xC4, bytes([0x10]) + ac) + marker(0xDA, bytes([1, 1, 0, 0, 0 if progressive else 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_jpeg_pictures():
+    for progressive in (False, True):
+        pixels = decode_jpeg(jpeg(progressive, [50, -20, -20, 100], 30))
+        assert pixels.shape == (8, 30, 4)
+        assert pixels[3, [0, 8, 16, 29], 0].tolist() == [178, 108, 108, 228]
+    with pytest.raises(ValueError, match="not a JPEG"):
+        decode_jpeg(b"GIF89a")
