@@ -4,8 +4,9 @@ A text is cut into sentences: after a word that ends in ``.``, ``!``, ``?`` or a
 before a word that starts a new line, and into clauses of a few words after each word whose hash is a multiple of 8,
 so that passages without punctuation, or pasted into the middle of a sentence, align too.
 All three depend on the words at the cut only, so a passage is cut alike wherever it stands. From each sentence a span
-runs over several consecutive sentences: two at least, and on to ``min_words`` words. Every span is hashed over its
-words (case kept, whitespace not). The least doc_id of each hash is found over the whole corpus, and a span is a
+runs over several consecutive sentences: two at least, and on to ``min_words`` words; and one runs back from each
+sentence's end in the same way, so that a passage is covered to both of its ends. Every span is hashed over its words
+(case kept, whitespace not). The least doc_id of each hash is found over the whole corpus, and a span is a
 repeat if a smaller doc_id holds it or it stood earlier in its own text. Sentences that a repeated span covers are
 removed, so the first occurrence stays and partly overlapping runs are removed to their ends.
 
@@ -40,12 +41,13 @@ _CLOSER[[ord(c) for c in "\"')]}"]] = True
 
 
 def _sentences(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
-    """Sentences of all texts of a slice: their first bytes, texts, and the span from each: its hash (0 if the text
-    ends before it is long enough) and the sentence after its last."""
+    """Sentences of all texts of a slice: their first bytes, the sentences before each text (one more than texts), and
+    the spans: text, first sentence, the sentence after the last, and hash."""
     words, owner, before = word_hashes(data, offsets, lower=False)
     n = len(words)
     if not n:
-        return {"start": np.zeros(0, np.int64), "owner": np.zeros(0, np.int64), "hash": np.zeros(0, U64), "after": np.zeros(0, np.int64), "bounds": np.zeros(len(offsets), np.int64)}
+        none = np.zeros(0, np.int64)
+        return {"start": none, "bounds": np.zeros(len(offsets), np.int64), "owner": none, "first": none, "after": none, "hash": np.zeros(0, U64)}
     starts, space = word_starts(data, offsets)
     # The last byte of each word: before the first whitespace behind it, or before the next text.
     gap = np.flatnonzero(space)
@@ -61,21 +63,25 @@ def _sentences(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
     word = np.flatnonzero(first)  # the first word of each sentence
     of = owner[word]
     bounds = np.searchsorted(word, before)
-    # The span from sentence s ends before the first sentence, two on at least, that starts min_words words later.
-    after = np.maximum(np.searchsorted(word, word + min_words), np.arange(len(word)) + MIN_SENTENCES)
-    last_word = np.append(word, n)
-    whole = after <= bounds[of + 1]
-    after = np.minimum(after, len(word))
+    edge = np.append(word, n)  # the first word of each sentence, and the end
+    here = np.arange(len(word))
+    # Forward, a span ends before the first sentence, two on at least, that starts min_words words later; backward, it
+    # starts at the last sentence, two back at least, from which there are min_words words.
+    after = np.maximum(np.searchsorted(edge, word + min_words), here + MIN_SENTENCES)
+    fits = (after < len(edge)) & (after <= bounds[of + 1])
+    first_back = np.minimum(np.searchsorted(word, edge[1:] - min_words, "right") - 1, here + 1 - MIN_SENTENCES)
+    fits_back = first_back >= bounds[of]
+    first_at = np.concatenate([here[fits], first_back[fits_back]])
+    after_at = np.concatenate([after[fits], here[fits_back] + 1])
     # Its hash is a polynomial's difference of running sums, scaled to start at one power.
     base = U64(0xC2B2AE3D27D4EB4F)
     inverse = U64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
     power = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, base)]))
     back = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, inverse)]))
     run = np.concatenate([[U64(0)], np.cumsum(words * power, dtype=U64)])
-    a, b = last_word[np.arange(len(word))], last_word[after]
+    a, b = edge[first_at], edge[after_at]
     hashes = mix((run[b] - run[a]) * back[a] + (b - a).astype(U64) * _STEPS[0])
-    hashes = np.where(whole, np.where(hashes == 0, U64(1), hashes), U64(0))
-    return {"start": starts[word], "owner": of, "hash": hashes, "after": after, "bounds": bounds}
+    return {"start": starts[word], "bounds": bounds, "owner": of[first_at], "first": first_at, "after": after_at, "hash": hashes}
 
 
 def _span_hashes(min_words: int):
@@ -84,8 +90,7 @@ def _span_hashes(min_words: int):
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             for row, _, data, offsets in text_slices(batch.column(1)):
                 s = _sentences(data, offsets, min_words)
-                at = np.flatnonzero(s["hash"])
-                owner, hashes = s["owner"][at] + row, s["hash"][at]
+                owner, hashes = s["owner"] + row, s["hash"]
                 order = np.lexsort((hashes, owner))
                 owner, hashes = owner[order], hashes[order]
                 new = np.ones(len(order), bool)
@@ -103,20 +108,23 @@ def _clean(min_words: int):
             taken = batch.column("spans")
             for row, end, data, offsets in text_slices(texts):
                 s = _sentences(data, offsets, min_words)
+                order = np.lexsort((s["first"], s["owner"]))
+                owner, firsts, afters, all_hashes = (s[k][order] for k in ("owner", "first", "after", "hash"))
+                parts = np.searchsorted(owner, np.arange(end - row + 1))
                 count, spans, out = [], [], []
                 raw = data.tobytes()
                 for i in range(end - row):
                     a, b = int(s["bounds"][i]), int(s["bounds"][i + 1])
-                    hashes = s["hash"][a:b]
-                    repeat = np.ones(b - a, bool)
-                    repeat[np.unique(hashes, return_index=True)[1]] = False
+                    own = slice(parts[i], parts[i + 1])
+                    hashes, first, after = all_hashes[own], firsts[own] - a, afters[own] - a
+                    seen, earliest, which = np.unique(hashes, return_index=True, return_inverse=True)
+                    repeat = first > first[earliest][which] if len(seen) else np.zeros(0, bool)
                     gone = taken[row + i].values if taken[row + i].is_valid else None
                     if gone is not None and len(gone):
                         repeat |= np.isin(hashes, gone.to_numpy().view(U64))
-                    repeat &= hashes != 0
                     cover = np.zeros(b - a + 1, np.int64)
-                    np.add.at(cover, np.flatnonzero(repeat), 1)
-                    np.add.at(cover, s["after"][a:b][repeat] - a, -1)
+                    np.add.at(cover, first[repeat], 1)
+                    np.add.at(cover, after[repeat], -1)
                     covered = np.cumsum(cover[:-1]) > 0
                     lo, hi = int(offsets[i]), int(offsets[i + 1])
                     edges = np.append(s["start"][a:b], hi)
