@@ -281,9 +281,9 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     stars = materialize(stars.where(f"{apart.format('sketch', 'hub_sketch')} <= {most}").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     def full_sets(wanted: DataFrame) -> DataFrame:
-        """The sets of some nodes, made again from their texts."""
+        """The sets of some nodes, made again from their texts. Their ids grow with the corpus: never broadcast."""
         ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
-        rows = texts.join(materialize(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        rows = texts.join(materialize(ids).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         return materialize(rows.mapInArrow(_sets(k), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
 
     in_stars = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -315,5 +315,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which minhash_groups() keeps the doc_id; one row of each id, with all columns."""
     kept = minhash_groups(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept"), "n")
     kept = materialize(kept)
-    out = docs.join(kept.select("__kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    out = docs.join(kept.select("__kept").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
