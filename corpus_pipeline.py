@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages, each on all that the one before kept.
 
 Quality rules drop what fails, near-duplicate groups keep one document each, live credentials are replaced, sources are
-mixed to their weights (documents repeat) and the mix is packed into sequences. Each stage's rows are written as
+mixed to their weights (documents repeat) and the mix is packed into sequences: the result has the token ids of each
+piece and its place, and packing.sequences() only puts the pieces of a sequence together. Each stage's rows are written as
 Parquet and read again, so a lost executor costs a part of one stage.
 """
 
@@ -30,7 +31,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, queries.tokenizer_path())
+    return packing.pack_documents(docs, queries.tokenizer_path(), with_ids=True)
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", pack)]

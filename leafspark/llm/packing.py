@@ -335,7 +335,7 @@ def pack(lengths: np.ndarray, width: int = WIDTH) -> list[list[int]]:
     return [[int(i)] for i in full] + [[int(rest[i]) for i in b] for b in bins]
 
 
-def _pack_partition(path: str, width: int, end_id: int, with_ids: bool):
+def _pack_partition(path: str, width: int, end_id: int):
     def flush(pool: dict, sequence: int) -> tuple[pa.RecordBatch, int]:
         length = np.array(pool["length"], np.int64)
         bins = pack(length, width)
@@ -353,35 +353,57 @@ def _pack_partition(path: str, width: int, end_id: int, with_ids: bool):
         tokens = Tokens(path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+        names = ["doc_id", "piece", "start", "length", "ids"]
         pool: dict = {k: [] for k in names}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for row in range(0, len(ids), 256):
                 texts = [t or "" for t in batch.column(1)[row : row + 256].to_pylist()]
                 for doc_id, own in zip(ids[row : row + 256], tokens.encode(texts), strict=True):
-                    own = np.append(own, np.int32(end_id)).astype("<u4")
+                    own = np.append(own, np.int32(end_id)).astype(np.int32)
                     cuts = [0, *range((len(own) - 1) % width + 1, len(own) + 1, width)]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        values = [doc_id, piece, a, b - a, zlib.crc32(own[a:b]), *[own[a:b].astype(np.int32)] * with_ids]
+                        values = [doc_id, piece, a, b - a, own[a:b]]
                         for k, v in zip(names, values, strict=True):
                             pool[k].append(v)
                 if len(pool["length"]) >= POOL:
                     out, sequence = flush(pool, sequence)
-                    yield out
+                    yield from _slices(out)
                     pool = {k: [] for k in names}
         if pool["length"]:
-            yield flush(pool, sequence)[0]
+            yield from _slices(flush(pool, sequence)[0])
 
     return run
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Ids go on in batches of some MB."""
+    for at in range(0, batch.num_rows, 2048):
+        yield batch.slice(at, 2048)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield batch.append_column("ids_crc32", pa.array(crc, pa.int64()))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """``packed`` and ids_crc32, made from its ids (little-endian, four bytes each)."""
+    kinds = ", ".join(f"{c} {kind}" for c, kind in packed.dtypes)
+    return packed.mapInArrow(_digest, f"{kinds}, ids_crc32 long")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ids with ``with_ids``, for each piece.
-    ``tokenizer`` is the path of a vocabulary file of the ``tokenizers`` library, the same on all machines."""
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ids with ``with_ids``, for each piece; the
+    digest is made from the packed ids. ``tokenizer`` is the path of a vocabulary file of the ``tokenizers`` library,
+    the same on all machines."""
+    schema = "doc_id long, piece long, start long, length long, ids array<int>, sequence_id long, offset long"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_pack_partition(tokenizer, width, end_id, with_ids), schema)
+    packed = digests(texts.mapInArrow(_pack_partition(tokenizer, width, end_id), schema))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

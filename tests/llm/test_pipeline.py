@@ -9,7 +9,7 @@ import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from leafspark.llm import secrets_scan, weak_quality
+from leafspark.llm import packing, secrets_scan, weak_quality
 from leafspark.llm.queries import tokenizer_path
 from tests.llm.test_native import WORD, brute_quality, brute_targets
 from tests.llm.test_superminhash import brute
@@ -113,6 +113,16 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, odd, empty):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
 
 
+def test_the_packed_corpus_comes_from_the_result_alone(spark, odd):
+    docs = odd.drop("size", "row").where("doc_id <> 6")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs.union(docs), SF)
+    rows = out.collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    whole = packing.sequences(out.sparkSession.createDataFrame(rows, out.schema)).collect()
+    assert Counter(x for s in whole for x in s.input_ids) == Counter(x for r in rows for x in r.ids)
+    assert sum(r.piece == 0 for r in rows) == 2 * docs.count()
+
+
 def test_every_operator_has_its_query():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
