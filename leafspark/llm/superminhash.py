@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -125,7 +125,7 @@ def _sign(k: int, slots: int, bands: int):
                 elements, at = shingle_sets(data, offsets, k)
                 signature = signatures(elements, at, slots)
                 marks = _bands(signature, bands)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "n": pa.array(np.diff(at)), "node": pa.array(_fingerprints(elements, at).view(np.int64)), "bands": _lists(marks), "sketch": _lists(_sketches(signature))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "mark": batch.column(2)[row:end], "n": pa.array(np.diff(at)), "node": pa.array(_fingerprints(elements, at).view(np.int64)), "bands": _lists(marks), "sketch": _lists(_sketches(signature))})
 
     return run
 
@@ -261,10 +261,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * common >= {percent} * (total - common)").select("a", "b")
 
 
-def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text string)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, n long, node long, bands array<long>, sketch array<long>"))
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _grouped(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, mark, n, component, component_id) for each row of ``docs``: a hash of its text, the size of its set, and
+    the component's number and least doc_id, which are null for an empty set."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark"))
+    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, mark long, n long, node long, bands array<long>, sketch array<long>"))
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes)
     places = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -305,15 +310,34 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
 
     named = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    found = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    named = named.join(least, "component").select("node", "component", "component_id")
+    return signed.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left").drop("node")
+
+
+def minhash_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text string); options: k, percent,
+    slots and bands."""
+    found = _grouped(docs, **options)
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which minhash_groups() keeps the doc_id; one row of each id, with all columns."""
-    kept = minhash_groups(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept"), "n")
-    kept = materialize(kept)
-    out = docs.join(kept.select("__kept").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+    """One row of each component, with all columns: of the rows with its least doc_id (null last) one with the least hash
+    of its text, whatever other rows have that doc_id. Rows with empty sets are linked with nothing and all stay."""
+    found = _grouped(docs, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    linked = found.where("n > 0").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    best = linked.groupBy("component").agg(F.min(F.struct(key.alias("key"), "rows")).alias("best"))
+    keys = best.select(F.col("best.key.doc_id").alias("__id"), F.col("best.key.mark").alias("__mark"), F.col("best.rows").alias("__rows"))
+    keys = keys.unionAll(found.where("n = 0").select("doc_id", "mark", F.lit(1).cast("long")).distinct())
+    keys = materialize(keys)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark"))
+        return docs.join(some.select("__id", "__mark").hint("merge"), same, "left_semi")
+
+    repeated = keys.where("__rows > 1")
+    if repeated.isEmpty():
+        return rows_of(keys)
+    return rows_of(keys.where("__rows = 1")).unionAll(rows_of(repeated).dropDuplicates(["doc_id", "text"]))

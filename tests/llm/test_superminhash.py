@@ -72,6 +72,16 @@ def test_one_row_of_each_group_stays(spark, odd):
     assert kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_unrelated_texts_under_one_or_no_id_stay_and_duplicates_go(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(8)]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (4, near), (5, texts[4]), (5, texts[5]), (9, texts[5] + " end"), (6, texts[6]), (6, texts[6]), (7, ""), (None, None), (None, "")]
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    want = [(None, texts[1]), (4, texts[2]), (4, texts[3]), (4, near), (5, texts[4]), (5, texts[5]), (6, texts[6]), (7, ""), (None, None), (None, "")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_members_that_their_hub_does_not_link(spark, monkeypatch):
     """Families of copies around a common passage: the passage gives them a hub, and links are between other members."""
     monkeypatch.setattr(S, "CHUNK", 8)
