@@ -6,9 +6,11 @@ in order of falling length, and then exchanged between underfull sequences: a pi
 one, or two are swapped for one, whenever that raises the sum of squared fills. As fuller sequences get fuller the
 emptiest run out of pieces, and sequences that have none left vanish.
 
-A pool is what a task reads in turn, up to ``POOL`` pieces; it is packed in place, so neither tokens nor pieces are
-shuffled, memory is bounded by the pool, and a retried task packs the same again. Each pool leaves at most a few
-sequences short.
+Pieces are written once with a key each. Those below full width are counted by length, ordered by length over the
+whole table and dealt out in turn, so that each pool of about ``POOL`` pieces has the whole table's mix of lengths, to
+one piece of each length, however the input is stored. Only keys and lengths are shuffled to be packed; memory is
+bounded by the pool. The places are then joined to the ids. Each pool leaves at most a few sequences short of what all
+pieces together would need.
 
 Tokens: texts are cut by the vocabulary's own pattern into pretokens with array operations, and each different
 pretoken is tokenised once per task. Texts with characters above U+2FFF or with the vocabulary's special strings go
@@ -21,6 +23,7 @@ gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .npbytes import U64, mix, segment_hashes
+from .store import materialize
 
 WIDTH = 1024
 END_ID = 2
-POOL = 32_768
+POOL = 8192
 #: Characters that are tokenised at once.
 _CHARS = 1 << 19
 _PLAIN = 0x3000
@@ -261,11 +265,11 @@ def best_fit(lengths: np.ndarray, width: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, width: int, passes: int = 4) -> list[list[int]]:
-    """Moves and swaps between underfull bins that raise the sum of squared fills, until none is found or ``passes``
-    passes over the emptiest bins are done; bins without pieces are dropped."""
+def local_search(bins: list[list[int]], lengths: np.ndarray, width: int, passes: int | None = None) -> list[list[int]]:
+    """Moves and swaps between underfull bins that raise the sum of squared fills, until none is found or, if given,
+    ``passes`` passes over the emptiest bins are done; bins without pieces are dropped."""
     fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         under = np.flatnonzero((fill > 0) & (fill < width))
         if len(under) < 2:
             break
@@ -280,7 +284,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, width: int, passes:
             for a in sorted(bins[poor], key=lambda i: -lengths[i]):
                 la = int(lengths[a])
                 rooms = width - fill[under]
-                fits = np.flatnonzero((rooms >= la) & (fill[under] >= fill[poor] - la) & (fill[under] > 0) & (under != poor))
+                fits = np.flatnonzero((rooms >= la) & (fill[under] > fill[poor] - la) & (fill[under] > 0) & (under != poor))
                 if len(fits):  # move to the tightest that takes it
                     to = int(under[fits[np.argmin(rooms[fits])]])
                     bins[poor].remove(a)
@@ -335,51 +339,80 @@ def pack(lengths: np.ndarray, width: int = WIDTH) -> list[list[int]]:
     return [[int(i)] for i in full] + [[int(rest[i]) for i in b] for b in bins]
 
 
-def _pack_partition(path: str, width: int, end_id: int):
-    def flush(pool: dict, sequence: int) -> tuple[pa.RecordBatch, int]:
-        length = np.array(pool["length"], np.int64)
-        bins = pack(length, width)
-        number, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-        for k, b in enumerate(bins):
-            at = 0
-            for i in b:
-                number[i], offset[i] = sequence + k, at
-                at += length[i]
-        columns = {k: pa.array(v, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for k, v in pool.items()}
-        columns |= {"sequence_id": pa.array(number), "offset": pa.array(offset)}
-        return pa.RecordBatch.from_pydict(columns), sequence + len(bins)
+def _pieces(path: str, width: int, end_id: int):
+    """Pieces of all texts: part and nth of its length there, a key, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path)
         context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 40
-        names = ["doc_id", "piece", "start", "length", "ids"]
-        pool: dict = {k: [] for k in names}
+        part = context.partitionId() if context else 0
+        key, seen = part << 40, np.zeros(width + 1, np.int64)
+        names = ["key", "part", "nth", "doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for row in range(0, len(ids), 256):
+            doc_ids = batch.column(0).to_pylist()
+            for row in range(0, len(doc_ids), 256):
+                held: dict = {k: [] for k in names}
                 texts = [t or "" for t in batch.column(1)[row : row + 256].to_pylist()]
-                for doc_id, own in zip(ids[row : row + 256], tokens.encode(texts), strict=True):
+                for doc_id, own in zip(doc_ids[row : row + 256], tokens.encode(texts), strict=True):
                     own = np.append(own, np.int32(end_id)).astype(np.int32)
                     cuts = [0, *range((len(own) - 1) % width + 1, len(own) + 1, width)]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        values = [doc_id, piece, a, b - a, own[a:b]]
+                        values = [key, part, int(seen[b - a]), doc_id, piece, a, b - a, own[a:b]]
                         for k, v in zip(names, values, strict=True):
-                            pool[k].append(v)
-                if len(pool["length"]) >= POOL:
-                    out, sequence = flush(pool, sequence)
-                    yield from _slices(out)
-                    pool = {k: [] for k in names}
-        if pool["length"]:
-            yield from _slices(flush(pool, sequence)[0])
+                            held[k].append(v)
+                        key += 1
+                        seen[b - a] += 1
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for k, v in held.items()})
+
+    return run
+
+
+def _pack_pools(width: int):
+    """Places of the pieces of pools; a pool's rows come together, sorted by pool and key. Sequences have odd numbers,
+    those of full pieces even ones."""
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        pool = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        base = pool.column("pool")[0].as_py() << 32
+        length = pool.column("length").to_numpy()
+        number, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for k, b in enumerate(pack(length, width)):
+            number[b] = 2 * (base + k) + 1
+            offset[b] = np.cumsum(length[b]) - length[b]
+        return pa.RecordBatch.from_pydict({"key": pool.column("key"), "sequence_id": pa.array(number), "offset": pa.array(offset)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pools = batch.column("pool").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pools)) + 1).tolist(), len(pools)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if parts and parts[-1].column("pool")[0].as_py() != pools[a]:
+                    yield flush(parts)
+                    parts = []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield flush(parts)
 
     return run
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Ids go on in batches of some MB."""
-    for at in range(0, batch.num_rows, 2048):
-        yield batch.slice(at, 2048)
+def _places(pieces: DataFrame, width: int) -> DataFrame:
+    """(key, sequence_id, offset) of the pieces that are shorter than ``width``."""
+    short = pieces.where(F.col("length") < width).select("key", "part", "nth", "length")
+    counts = materialize(short.groupBy("length", "part").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    pools = max(1, -(-total // POOL))
+    # Where each length starts among all (at most ``width`` rows), and each part within its length.
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n"))
+    lengths = lengths.select("length", (F.sum("n").over(Window.orderBy("length")) - F.col("n")).alias("base"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    first = counts.withColumn("before", before).join(F.broadcast(lengths), "length").select("length", "part", (F.col("base") + F.col("before")).alias("first"))
+    dealt = short.join(first.hint("merge"), ["length", "part"]).select("key", "length", F.pmod(F.col("first") + F.col("nth"), F.lit(pools)).alias("pool"))
+    dealt = dealt.repartition(pools, "pool").sortWithinPartitions("pool", "key")
+    return dealt.mapInArrow(_pack_pools(width), "key long, sequence_id long, offset long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +433,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, width: int = WIDTH, end_id:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ids with ``with_ids``, for each piece; the
     digest is made from the packed ids. ``tokenizer`` is the path of a vocabulary file of the ``tokenizers`` library,
     the same on all machines."""
-    schema = "doc_id long, piece long, start long, length long, ids array<int>, sequence_id long, offset long"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = digests(texts.mapInArrow(_pack_partition(tokenizer, width, end_id), schema))
+    schema = "key long, part long, nth long, doc_id long, piece long, start long, length long, ids array<int>"
+    pieces = materialize(texts.mapInArrow(_pieces(tokenizer, width, end_id), schema))
+    of = ["doc_id", "piece", "start", "length", "ids"]
+    full = pieces.where(F.col("length") == width).select(*of, (F.col("key") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = pieces.where(F.col("length") < width).join(_places(pieces, width).hint("merge"), "key")
+    packed = digests(full.unionAll(short.select(*of, "sequence_id", "offset")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 
 

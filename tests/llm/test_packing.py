@@ -64,6 +64,18 @@ def test_local_search_raises_squared_fill_and_empties_bins():
     assert len(better) < 600 and sum(f * f for f in fill) > int((lengths**2).sum())
 
 
+def test_lengths_that_are_stored_apart_are_packed_together(spark, monkeypatch):
+    """600 tokens a document in some partitions and 400 in others: as many sequences as documents of one kind."""
+    monkeypatch.setattr(P, "POOL", 128)
+    t = tokenizer()
+    word = next(w for w in (" the", " a", " of") if len(t.encode(w * 50, add_special_tokens=False).ids) == 50)
+    rows = [(i, word * (599 if i < 400 else 399)) for i in range(800)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    out = P.pack_documents(docs, tokenizer_path()).collect()
+    assert len(out) == 800 and {r.length for r in out} == {600, 400}
+    assert len({r.sequence_id for r in out}) <= 400 + 7
+
+
 def test_nothing_and_empty(spark, empty):
     assert P.pack_documents(empty, tokenizer_path()).count() == 0
     assert P.pack(np.array([1024, 1024, 1])) == [[0], [1], [2]]
