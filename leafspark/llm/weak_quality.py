@@ -8,6 +8,10 @@ no more often in its mode than on good documents loses its say. Weak priors, a s
 alike at every size, keep rates off 0 and 1. A document's verdict is its posterior probability of being good, not the
 wish that all rules pass; only the fixed base limits reject by themselves.
 
+The shares of distinct and of repeated words fall and rise with length whatever the quality, so the rules on them look
+at windows of ``WINDOW`` words over the whole text, and take the mean by words; n_repeat_words and the base limit on it
+are of the whole text.
+
 Everything about a document is computed within its row: words are an array, windows of three words are hashed, their
 positions packed under the hash and sorted as longs, and equal neighbours are repeats. No word is ever shuffled.
 The hash keeps 63 bits less those of the number of words.
@@ -28,6 +32,8 @@ from .store import materialize
 _SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 ROUNDS = 25
+#: Words in which distinct and repeated ones are counted for the votes.
+WINDOW = 20_000
 
 #: (rule, measure, bad if below, bad if above, good from, good up to); in between a rule abstains.
 RULES = (
@@ -62,6 +68,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.length("__text") - without("!")).alias("n_bangs"),
         (3 * F.length("__text") - without(".") - without("!") - without("?")).alias("n_stops"),
     )
+    distinct = f"aggregate(sequence(0, (size(words) - 1) div {WINDOW}), 0, (a, w) -> a + size(array_distinct(slice(words, cast(w * {WINDOW} + 1 as int), {WINDOW}))))"
     rows = rows.select(
         *keep,
         "words",
@@ -72,24 +79,33 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         "n_stops",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
+        F.expr(f"case when size(words) <= {WINDOW} then size(array_distinct(words)) else {distinct} end").alias("n_distinct"),
         F.length(F.bin(F.size("words").cast("long"))).alias("bits"),
     )
-    # The hash of each window of three words above, its position in the low bits.
-    packed = "sort_array(transform(sequence(0, n_words - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | i))"
-    rows = rows.withColumn("packed", F.expr(f"case when n_words >= 3 then {packed} else cast(array() as array<bigint>) end")).drop("words")
-    same = "shiftright(x, bits) = shiftright(get(packed, cast({} as int)), bits)"
-    repeats = f"filter(packed, (x, i) -> {same.format('i - 1')} or {same.format('i + 1')})"
-    rows = rows.withColumn("repeats", F.expr(f"sort_array(transform({repeats}, x -> x & (shiftleft(1L, bits) - 1)))")).drop("packed")
-    covered = "aggregate(repeats, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n)"
-    rows = rows.withColumn("n_repeat_words", F.expr(covered)).drop("repeats", "bits")
+    # The hash of each window of three words above, its position in the low bits; for long texts also those within each
+    # window, which are equal in the same window only.
+    packed = "sort_array(transform({}, i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]{}), bits) | i))"
+    whole = packed.format("sequence(0, n_words - 3)", "")
+    inside = packed.format(f"filter(sequence(0, n_words - 3), i -> i % {WINDOW} <= {WINDOW - 3})", f", i div {WINDOW}")
+    none = "cast(array() as array<bigint>)"
+    rows = rows.withColumns({"packed": F.expr(f"case when n_words >= 3 then {whole} else {none} end"), "inside": F.expr(f"case when n_words > {WINDOW} then {inside} else {none} end")}).drop("words")
+    same = "shiftright(x, bits) = shiftright(get({0}, cast({1} as int)), bits)"
+
+    def repeated(of: str) -> Column:
+        repeats = f"filter({of}, (x, i) -> {same.format(of, 'i - 1')} or {same.format(of, 'i + 1')})"
+        return F.expr(f"sort_array(transform({repeats}, x -> x & (shiftleft(1L, bits) - 1)))")
+
+    rows = rows.withColumns({"repeats": repeated("packed"), "inside": repeated("inside")}).drop("packed")
+    covered = "aggregate({}, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n)"
+    rows = rows.withColumn("n_repeat_words", F.expr(covered.format("repeats")))
+    rows = rows.withColumn("n_inside", F.expr(f"case when n_words > {WINDOW} then {covered.format('inside')} else n_repeat_words end")).drop("repeats", "inside", "bits")
     return rows.select(
         *keep,
         *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
         _per("word_chars").alias("mean_word"),
         _per("n_symbols").alias("symbol_share"),
         _per("n_dup_lines", "n_lines").alias("dup_line_share"),
-        _per("n_repeat_words").alias("repeat_share"),
+        _per("n_inside").alias("repeat_share"),
         _per("n_distinct").alias("distinct_share"),
         _per("n_bangs").alias("bang_share"),
         _per("n_stops").alias("stop_share"),

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,17 @@ def test_chat_round_trip(spark):
     assert examples.where("conv_id = 1").count() == 3
     assert examples.where("loss_end > loss_start").count() == 4
     assert chat.format_examples(frame.where(F.lit(False))).count() == 0
+
+
+def test_votes_do_not_depend_on_length(spark):
+    """A clean text of 300,000 words votes as its beginning does, save for its length, and one of repeats stays bad."""
+    rng = np.random.default_rng(2)
+    words = [f"w{x}." if x % 20 == 0 else f"word{x}" for x in rng.integers(0, 20_000, 300_000)]
+    again = rng.choice(words[:200], 60_000).tolist()
+    rows = [(1, " ".join(words[:20_000])), (2, " ".join(words)), (3, " ".join(again)), (4, " ".join(words[:15_000] * 2))]
+    measured = weak_quality.measures(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    out = {r.doc_id: r for r in weak_quality.votes(measured).collect()}
+    assert out[2].votes[1:] == out[1].votes[1:] and out[2].votes[5] == 1
+    assert out[3].votes[5] == -1
+    inside = sum(brute_quality(" ".join(part))[4] for part in (rows[3][1].split()[:20_000], rows[3][1].split()[20_000:]))
+    assert out[4].repeat_share == inside / 30_000 and out[4].n_repeat_words == 30_000
