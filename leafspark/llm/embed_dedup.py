@@ -1,16 +1,23 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors with cosine c or more are at squared distance 2 - 2c or less. They are rotated by random signs and a
-Walsh-Hadamard transform, which spreads length evenly, and split into ``blocks`` low-dimensional blocks. A pair within
-the whole budget is within a ``blocks``-th of it in at least one block, so a range join of every block under that
-share, on a grid of its first ``grid`` coordinates, finds every such pair. Candidates are verified by the exact cosine
-of the given vectors in double precision, and a pair counts in the block in which it is closest only, so that the
-union over blocks needs no table of pairs: tasks give each vector's number of links, and a forest of links by
-union-find for the components.
-
-Vectors equal in every component are one class, weighted by its rows: copies are counted, never paired. Cells are
-dealt out in tiles of at most ``TILE`` by ``TILE`` vectors, so no task holds a crowded cell. The table of cells is
-bounded by blocks * cells_per_axis ** grid, whatever the corpus, and is broadcast.
+Walsh-Hadamard transform, which spreads length evenly, and split into ``blocks`` blocks of few coordinates. A pair within
+the whole budget is within a ``blocks``-th of it in at least one block, so a range join of every block under that share
+finds every such pair; nothing is approximate. Candidates are verified by the exact cosine of the given vectors in double
+precision, and a pair counts in the block in which it is closest only, so that the union over blocks needs no table of
+pairs: tasks give each vector's number of links, and a forest of links by union-find for the components.
+
+The range join of a block runs in tiles, by bitmaps: each coordinate is cut into ``LEVELS`` levels, and each level has a
+bitmap of the vectors within reach of it. The bitmaps of a vector's levels, one for each coordinate of the block, are
+intersected, 64 vectors to an operation; distances are computed only for what is left (``join_tile`` returns how many),
+which for vectors without structure is a few in a thousand of all pairs. Tests of bits do grow with the square of
+the number of different vectors: in many dimensions, cells or trees would copy each vector to most of its neighbours
+before they part anything, and cost more than this.
+
+Vectors equal in every component are one class, weighted by its rows: copies are counted, never paired. A class is known by
+128 bits of hash. Classes are dealt to chunks of at most ``CHUNK_FLOATS`` numbers and each two chunks meet in a tile, with the
+vectors themselves and all blocks together, so no task holds more than two chunks and a vector moves as often as there
+are chunks, not once for each block and cell.
 
 Defined results: a null or zero vector, and one with a null or non-finite component, links with nothing and is its own
 component; vectors of different length aren't compared; rows that share a vec_id count as vectors of their own; a
@@ -23,15 +30,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .npbytes import runs
 from .store import materialize
 
-TILE = 2048
+BLOCKS = 4
+LEVELS = 128
+#: Numbers in the vectors of one side of a tile, and the least number of chunks, so that tiles are enough for many tasks.
+CHUNK_FLOATS = 1 << 19
+LEAST_CHUNKS = 8
 _SLACK = 1e-9
+_ROWS = 256
+_PAIRS = 1 << 16
 
 
 def rotate(unit: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -50,152 +64,134 @@ def rotate(unit: np.ndarray, seed: int = 0) -> np.ndarray:
     return out / math.sqrt(width)
 
 
-def _shape(dims: int, blocks: int, grid: int) -> tuple[int, int]:
-    """Blocks and grid coordinates that a vector of ``dims`` allows; more blocks than coordinates make no sense."""
-    width = 1 << max(0, dims - 1).bit_length()
-    blocks = min(blocks, width)
-    return blocks, min(grid, width // blocks)
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _places(cosine: float, blocks: int, grid: int, side_radii: float):
-    """For each class its home cell in each block, and the later cells within reach."""
+def _reach_bitmaps(right: np.ndarray, low: float, step: float, radius: float) -> np.ndarray:
+    """For each level of one coordinate, 64 to a long, the ``right`` values within reach of some value of that level."""
+    edges = low + np.arange(LEVELS + 1) * step
+    near = (right[None] >= edges[:-1, None] - radius) & (right[None] <= edges[1:, None] + radius)
+    bits = np.zeros((LEVELS, -(-len(right) // 64) * 8), np.uint8)
+    packed = np.packbits(near, axis=1, bitorder="little")
+    bits[:, : packed.shape[1]] = packed
+    return bits.view("<u8")
+
+
+def _range_join(left: np.ndarray, right: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left rows, right rows) of all pairs that may be within the squared distance ``limit``, a slice of left rows at a time."""
+    radius = math.sqrt(limit)
+    maps, levels = [], []
+    for axis in range(left.shape[1]):
+        x, y = left[:, axis], right[:, axis]
+        low = float(x.min())
+        step = max((float(x.max()) - low) / LEVELS, 1e-12) * (1 + 1e-9)
+        maps.append(_reach_bitmaps(y, low, step, radius + 1e-12))
+        levels.append(np.minimum(((x - low) / step).astype(np.int64), LEVELS - 1))
+    for at in range(0, len(left), _ROWS):
+        met = maps[0][levels[0][at : at + _ROWS]]
+        for bits, level in zip(maps[1:], levels[1:], strict=True):
+            met &= bits[level[at : at + _ROWS]]
+        row, word = np.nonzero(met)
+        for a in range(0, len(row), _PAIRS // 16):
+            some = met[row[a : a + _PAIRS // 16], word[a : a + _PAIRS // 16]]
+            k, bit = np.nonzero(np.unpackbits(some[:, None].view(np.uint8), axis=1, bitorder="little"))
+            yield row[a + k] + at, word[a + k] * 64 + bit
+
+
+def join_tile(unit: np.ndarray, left: np.ndarray, right: np.ndarray | None, cosine: float, blocks: int = BLOCKS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(a, b, distances computed) for the pairs of rows of ``unit`` with that cosine or more: of ``left`` with ``right``, or
+    of ``left`` with itself if that is None. Each pair comes once."""
     squared = 2 - 2 * cosine
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = []
-            for dims, group in frame.groupby(frame["embedding"].map(len)):
-                count, axes = _shape(dims, blocks, grid)
-                turned = rotate(_unit(np.stack(group["embedding"].to_numpy())))
-                turned = turned.reshape(len(group), count, -1)[:, :, :axes]
-                radius = math.sqrt(squared / count) + _SLACK
-                side = radius * side_radii
-                home = np.floor(turned / side).astype(np.int64)
-                low = np.floor((turned - radius) / side).astype(np.int64)
-                high = np.floor((turned + radius) / side).astype(np.int64)
-                base = 2 * math.ceil(1 / side) + 4
-                steps = np.array(np.meshgrid(*[[-1, 0, 1]] * axes, indexing="ij")).reshape(axes, -1).T
-                for step in steps:
-                    cell = home + step
-                    near = ((cell >= low) & (cell <= high)).all(axis=2)
-                    ahead = next((s for s in step if s), 0)
-                    if ahead < 0:
-                        continue
-                    row, block = np.nonzero(near)
-                    if len(row):
-                        code = np.zeros(len(row), np.int64)
-                        for a in range(axes):
-                            code = code * base + cell[row, block, a] + base // 2
-                        parts.append(pd.DataFrame({"dims": dims, "block": block, "cell": code, "home": ahead == 0, "node": group["node"].to_numpy()[row], "weight": group["weight"].to_numpy()[row], "embedding": group["embedding"].to_numpy()[row]}))
-            for part in parts:
-                for at in range(0, len(part), 20_000):
-                    yield part.iloc[at : at + 20_000]
-
-    return run
-
-
-def _compare(cosine: float, blocks: int, grid: int):
-    squared = 2 - 2 * cosine
-
-    def tile(frame: pd.DataFrame) -> pd.DataFrame:
-        dims, block = int(frame["dims"].iloc[0]), int(frame["block"].iloc[0])
-        count, _ = _shape(dims, blocks, grid)
-        frame = frame.sort_values(["side", "node"], kind="stable")
-        raw = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        unit = _unit(raw)
-        turned = rotate(unit).reshape(len(frame), count, -1)
+    turned = rotate(unit)
+    blocks = min(blocks, turned.shape[1])
+    turned = turned.reshape(len(unit), blocks, -1)
+    limit = squared / blocks + _SLACK
+    other = left if right is None else right
+    for block in range(blocks):
         own = np.ascontiguousarray(turned[:, block])
-        node, weight, side = frame["node"].to_numpy(), frame["weight"].to_numpy(), frame["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        inside = not len(right)  # a chunk of a cell with itself
-        if inside:
-            right = left
-        limit = squared / count + _SLACK
-        square = (own * own).sum(axis=1)
-        links = np.zeros(len(frame), np.int64)
-        parent = np.arange(len(frame))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            near = square[rows][:, None] + square[right][None] - 2 * (own[rows] @ own[right].T) <= limit + _SLACK
-            i, j = np.nonzero(near)
-            a, b = rows[i], right[j]
-            if inside:
+        for i, j in _range_join(own[left], own[other], limit):
+            a, b = left[i], other[j]
+            if right is None:
                 a, b = a[a < b], b[a < b]
-            for start in range(0, len(a), 1 << 16):
-                x, y = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
+            for at in range(0, len(a), _PAIRS):
+                x, y = a[at : at + _PAIRS], b[at : at + _PAIRS]
+                tested = len(x)
+                near = ((own[x] - own[y]) ** 2).sum(axis=1) <= limit
+                x, y = x[near], y[near]
                 like = (unit[x] * unit[y]).sum(axis=1) >= cosine
                 x, y = x[like], y[like]
-                apart = ((turned[x] - turned[y]) ** 2).sum(axis=2)
-                mine = apart.argmin(axis=1) == block
-                x, y = x[mine], y[mine]
-                np.add.at(links, x, weight[y])
-                np.add.at(links, y, weight[x])
-                # A forest of this tile's links: labels move to the least end until they agree.
-                if len(x):
-                    labels = np.arange(len(frame))
-                    while True:
-                        least = np.minimum(labels[x], labels[y])
-                        new = labels.copy()
-                        np.minimum.at(new, labels[x], least)
-                        np.minimum.at(new, labels[y], least)
-                        new = new[new]
-                        if (new == labels).all():
-                            break
-                        labels = new
-                    for p in np.flatnonzero(labels != np.arange(len(frame))).tolist():
-                        u, v = root(p), root(int(labels[p]))
-                        if u != v:
-                            parent[max(u, v)] = min(u, v)
-        tied = np.array([root(p) for p in range(len(frame))])
-        keep = (links > 0) | (tied != np.arange(len(frame)))
-        return pd.DataFrame({"node": node[keep], "links": links[keep], "top": node[tied][keep]})
-
-    return tile
-
-
-def embedding_groups(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, grid: int = 3, side_radii: float = 3.0, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id bigint, embedding array<float>)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+                mine = ((turned[x] - turned[y]) ** 2).sum(axis=2).argmin(axis=1) == block
+                yield x[mine], y[mine], tested
+
+
+def _united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Union-find on arrays: roots are hooked to lesser roots until no pair (x, y) has two; every label is a root then."""
+    while True:
+        while (label != (up := label[label])).any():
+            label = up
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return label
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+
+
+def _tile(run: pa.RecordBatch, cosine: float, blocks: int) -> pa.RecordBatch:
+    """Each linked vector's weighted number of links in the tile, and the one that names its component there."""
+    node, weight, side = (run.column(c).to_numpy(zero_copy_only=False) for c in ("node", "weight", "side"))
+    unit = unit_vectors(run.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = run.column("left")[0].as_py() == run.column("right")[0].as_py()
+    links = np.zeros(len(node), np.int64)
+    label = np.arange(len(node))
+    if len(left) and (inside or len(right)):
+        for x, y, _ in join_tile(unit, left, None if inside else right, cosine, blocks):
+            np.add.at(links, x, weight[y])
+            np.add.at(links, y, weight[x])
+            label = _united(label, x, y)
+    keep = links > 0
+    return pa.RecordBatch.from_pydict({"node": pa.array(node[keep]), "links": pa.array(links[keep]), "top": pa.array(node[label][keep])})
+
+
+def _compare(cosine: float, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, 3):
+            yield _tile(tile, cosine, blocks)
+
+    return run
+
+
+def embedding_groups(vectors: DataFrame, cosine: float = 0.95, blocks: int = BLOCKS, chunk_floats: int = CHUNK_FLOATS, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id bigint, embedding array<float> or array<double>)."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = rows.withColumn("embedding", F.when(F.col("good"), F.transform("embedding", lambda x: x + F.lit(0.0))))  # no -0
-    rows = materialize(rows.withColumn("node", F.when(F.col("good"), F.xxhash64("embedding"))))
-    classes = rows.where("good").groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    classes = materialize(classes)
-
-    placed = "dims int, block int, cell long, home boolean, node long, weight long, embedding array<double>"
-    placed = materialize(classes.select("node", "weight", "embedding").repartition("node").mapInPandas(_places(cosine, blocks, grid, side_radii), placed))
-    cell = ["dims", "block", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.expr(f"cast(ceil(count_if(home) / {tile}) as int)").alias("homes"), F.expr(f"cast(ceil(count_if(not home) / {tile}) as int)").alias("guests")).where("homes > 0")
-    dealt = placed.join(F.broadcast(sizes), cell).withColumn("chunk", F.expr("cast(pmod(xxhash64(node, 1), if(home, homes, guests)) as int)"))
-    # A home chunk meets itself and the home chunks after it (numbered from 0), and all guest chunks (from homes).
-    home = dealt.where("home").withColumn("to", F.explode(F.expr("sequence(0, homes + guests - 1)")))
-    home = home.select(*cell, "node", "weight", "embedding", F.expr("if(to < homes, least(to, chunk), chunk)").alias("left"), F.expr("if(to < homes, greatest(to, chunk), to)").alias("right"), F.expr("cast(to < homes and to < chunk as int)").alias("side"))
-    guest = dealt.where("not home").withColumn("left", F.explode(F.expr("sequence(0, homes - 1)")))
-    guest = guest.select(*cell, "node", "weight", "embedding", "left", (F.col("homes") + F.col("chunk")).alias("right"), F.lit(1).alias("side"))
-    tiles = home.unionByName(guest).groupBy(*cell, "left", "right")
-    found = materialize(tiles.applyInPandas(_compare(cosine, blocks, grid), "node long, links long, top long"))
+    zero = F.lit(0.0).cast(kind[6:-1])
+    rows = rows.withColumn("embedding", F.when(F.col("good"), F.transform("embedding", lambda x: x + zero)))  # no -0
+    rows = materialize(rows.withColumn("h", F.when(F.col("good"), F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b")))))
+    classes = rows.where("good").groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("embedding")}))
+
+    # A row for each length of vectors: how many chunks those are dealt to.
+    sizes = classes.groupBy("dims").agg(F.expr(f"cast(greatest({least_chunks}, ceil(count(*) * dims / {chunk_floats})) as int)").alias("chunks"))
+    dealt = classes.join(sizes, "dims").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    dealt = dealt.withColumn("to", F.explode(F.expr("sequence(0, chunks - 1)")))
+    tile = ["dims", "left", "right"]
+    dealt = dealt.select("dims", F.least("chunk", "to").alias("left"), F.greatest("chunk", "to").alias("right"), F.expr("cast(chunk > to as int)").alias("side"), "node", "weight", "embedding")
+    dealt = dealt.repartition(*tile).sortWithinPartitions(*tile)
+    found = materialize(dealt.mapInArrow(_compare(cosine, blocks), "node long, links long, top long"))
 
     groups = connected_components(found.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("node", "vec_id", "weight").join(links, "node", "left").join(groups, "node", "left")
-    named = named.select("node", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    named = classes.select("h", "node", "vec_id", "weight").join(links, "node", "left").join(groups, "node", "left")
+    named = named.select("h", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "n_links", "component_id")
-    out = rows.select("vec_id", "node").join(named, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    named = named.join(least, "component").select("h", "n_links", "component_id")
+    out = rows.select("vec_id", "good", "h").join(named, "h", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -64,6 +64,25 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal first ``keys`` columns, of rows sorted by them; one run is held at a time."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        if left and any(left[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+            left = []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+            yield pa.Table.from_batches([*left, batch.slice(a, b - a)]).combine_chunks().to_batches()[0] if left else batch.slice(a, b - a)
+            left = []
+        left.append(batch.slice(cuts[-1] if len(cuts) else 0))
+    if left:
+        yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+
+
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word starts, and whether each byte is whitespace; a text's end ends its last word."""
     space = WHITESPACE[data]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .npbytes import U64, mix, shingle_sets, text_slices
+from .npbytes import U64, mix, runs, shingle_sets, text_slices
 from .store import materialize
 
 SLOTS = 240
@@ -141,25 +141,6 @@ def _sets(k: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray | pa.Array]]:
-    """Runs of rows with equal first ``keys`` columns, of rows sorted by them; one run is held at a time."""
-    left: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
-        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        if left and any(left[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
-            yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
-            left = []
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-            yield pa.Table.from_batches([*left, batch.slice(a, b - a)]).combine_chunks().to_batches()[0] if left else batch.slice(a, b - a)
-            left = []
-        left.append(batch.slice(cuts[-1] if len(cuts) else 0))
-    if left:
-        yield pa.Table.from_batches(left).combine_chunks().to_batches()[0]
-
-
 def _possible(run: pa.RecordBatch, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The nodes of a tile, their groups, and the places (left, right) of pairs in different groups that sizes and
     sketches allow."""
@@ -183,7 +164,7 @@ def _possible(run: pa.RecordBatch, percent: int, most: int) -> tuple[np.ndarray,
 def _flag(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs, nodes = [], []
-        for tile in _groups(batches, 3):
+        for tile in runs(batches, 3):
             if tile.num_rows > 1:
                 node, _, i, j = _possible(tile, percent, most)
                 found = np.unique(np.concatenate([i, j]))
@@ -202,7 +183,7 @@ def _flag(percent: int, most: int):
 def _compare(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
-        for tile in _groups(batches, 3):
+        for tile in runs(batches, 3):
             if tile.num_rows < 2:
                 continue
             node, group, i, j = _possible(tile, percent, most)
@@ -241,7 +222,7 @@ def _compare(percent: int, most: int):
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Rows (hub, node, ...) dealt to tiles: each meets all of its hub's other rows, in chunks; sorted for _groups()."""
+    """Rows (hub, node, ...) dealt to tiles: each meets all of its hub's other rows, in chunks; sorted for runs()."""
     counts = members.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
     dealt = members.join(counts, "hub").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
     dealt = dealt.withColumn("to", F.explode(F.expr("sequence(0, chunks - 1)")))
