@@ -2,37 +2,43 @@
 
 Texts are cut into windows of ``WINDOW`` bytes. In each window one network reads forward and one backward; at every
 byte the two states together give a probability of each language, and a document's probabilities are the mean over
-all its bytes. Nothing of a text is left out. Training is backpropagation through time with Adam on windows of a
-sample of labelled documents of a bounded size, and deterministic: the sample is the documents with the least hashes
-of their ids, and every random number is seeded.
+all its bytes. Nothing of a text is left out. Training is backpropagation through time with Adam.
+
+What is learned from is bounded: of each language at most ``PER_LANGUAGE`` labelled documents, those with the least hashes,
+so that a rare language is learned however large the table is. All windows of their whole texts, the short ones at the end
+too, are drawn from alike: training takes ``STEPS`` batches of ``BATCH`` windows, and the windows with the least hashes of each
+language, an equal share of each, are what it draws from. They are chosen on the executors; the driver gets no more than
+STEPS * BATCH windows, whatever the input. Every random number is seeded, so training repeats.
 
 Only text and lang are looked at; a prediction sees the text alone. Defined results: a text that is null, or has no
-letter, is ``und`` with score 0; documents without lang are predicted but not learned from; repeated rows are
-predicted alike; with no labelled document everything is ``und``; an empty table gives no rows; other columns are ignored.
+letter (Unicode category L), is ``und`` with score 0; documents without lang are predicted but not learned from; repeated
+rows are predicted alike; with no labelled document everything is ``und``; an empty table gives no rows; other columns
+are ignored. A text is held whole, and as many bytes again, while it is predicted.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .npbytes import slices, text_buffer
+from .npbytes import U64, mix, slices, text_buffer
 
 WINDOW = 96
 HIDDEN = 8
-#: At most so many labelled documents are learned from, and so many windows of each.
-SAMPLE_DOCS = 2400
-SAMPLE_CHARS = 384
+#: At most so many labelled documents of each language are learned from.
+PER_LANGUAGE = 600
 STEPS = 200
 BATCH = 128
 FOLDS = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of category L, which is what isalpha() tells."""
+    return any(map(str.isalpha, text))
 
 
 def _init(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -94,22 +100,18 @@ def _back(data: np.ndarray, out: np.ndarray, saved: list, grad: np.ndarray, u: n
     return gx, gu, gc
 
 
-def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 0) -> dict:
-    """The network's arrays and its languages."""
+def train(windows: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 0) -> dict:
+    """The network's arrays and its languages, learned from windows of WINDOW bytes at most."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     model = _init(max(1, len(languages)), rng)
-    rows, wanted = [], []
-    for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
-        for at in range(0, len(raw) - 15, WINDOW):
-            row = np.full(WINDOW, 256)
-            row[: len(raw[at : at + WINDOW])] = raw[at : at + WINDOW]
-            rows.append(row)
-            wanted.append(languages.index(label))
-    if len(languages) < 2 or not rows:
+    if len(languages) < 2:
         return {"languages": languages, "model": model}
-    data, wanted = np.stack(rows), np.array(wanted)
+    data = np.full((len(windows), WINDOW), 256)
+    for row, raw in zip(data, windows, strict=True):
+        row[: len(raw)] = np.frombuffer(raw, np.uint8)
+    number = {x: i for i, x in enumerate(languages)}
+    wanted = np.array([number[x] for x in labels])
     chance = 1 / np.bincount(wanted, minlength=len(languages))[wanted]  # each language as often
     chance /= chance.sum()
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
@@ -218,7 +220,7 @@ def _predict(trained: dict):
                 else:
                     p = np.zeros((end - row, 1))
                 best, score = p.argmax(axis=1), p.max(axis=1)
-                known = [bool(languages and t and _LETTER.search(t)) for t in texts]
+                known = [bool(languages and t and has_letter(t)) for t in texts]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id")[row:end],
                     "held_out": batch.column("held_out")[row:end],
@@ -229,19 +231,49 @@ def _predict(trained: dict):
     return run
 
 
-def held_out(doc_id, folds: int = FOLDS):
+def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def train_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = FOLDS, steps: int = STEPS) -> dict:
-    """A network trained on at most ``sample_docs`` labelled documents that aren't held out, SAMPLE_CHARS of each from
-    a place that its id decides."""
-    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))
-    spot = F.substr(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+def _windows(most: int):
+    """All windows of each text (lang, key, text) with an order made of its key; of a text with more than ``most`` windows
+    those that come first in that order, as no others can be among the first ``most`` of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not has_letter(text):
+                    continue
+                raw = text.encode()
+                order = mix(U64(key % (1 << 64)) + np.arange(-(-len(raw) // WINDOW), dtype=U64) * U64(0x9E3779B97F4A7C15))
+                first = np.argsort(order, kind="stable")[:most]
+                for at in range(0, len(first), 10_000):
+                    some = first[at : at + 10_000]
+                    pieces = [raw[i * WINDOW : (i + 1) * WINDOW] for i in some.tolist()]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some)), "order": pa.array(order[some].view(np.int64)), "piece": pa.array(pieces, pa.binary())})
+
+    return run
+
+
+def train_on(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS, steps: int = STEPS) -> dict:
+    """A network trained on whole texts of at most ``per_language`` labelled documents of each language that aren't held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds))
-    rows = usable.select(F.xxhash64("doc_id").alias("order"), F.col("lang").cast("string").alias("lang"), spot.alias("spot"))
-    rows = rows.where(F.col("spot").rlike(r"\p{L}")).orderBy("order", "lang", "spot").limit(sample_docs).collect()  # bounded by sample_docs
-    return train([r["spot"] for r in rows], [r["lang"] for r in rows], steps)
+    rows = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return train([], [], steps)
+    # Hashes are even: this share of a language holds per_language documents but once in many millions, and few more.
+    share = {x: min(1.0, (per_language + 6 * per_language**0.5) / n) for x, n in counts.items()}
+    least = F.create_map(*(F.lit(v) for x, p in share.items() for v in (x, int(p * 2.0**63) - 1)))
+    some = rows.where((F.col("key").bitwiseAND((1 << 63) - 1)) <= least[F.col("lang")])
+    first = Window.partitionBy("lang")
+    some = some.withColumn("n", F.row_number().over(first.orderBy("key"))).where(F.col("n") <= per_language).drop("n")
+    each = -(-steps * BATCH // len(counts))
+    pieces = some.mapInArrow(_windows(each), "lang string, order long, piece binary")
+    drawn = pieces.withColumn("n", F.row_number().over(first.orderBy("order", "piece"))).where(F.col("n") <= each)
+    drawn = drawn.select("lang", "order", "piece").collect()  # steps * BATCH windows, and a few for rounding, at most
+    drawn.sort()
+    return train([bytes(r["piece"]) for r in drawn], [r["lang"] for r in drawn], steps)
 
 
 def predict_language(docs: DataFrame, trained: dict | None = None, folds: int = FOLDS) -> DataFrame:

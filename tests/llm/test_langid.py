@@ -51,3 +51,33 @@ def test_odd_rows(spark, odd, empty):
     assert L.predict_language(empty).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.predict_language(unlabelled).collect()} == {"und"}
+
+
+def test_signs_that_are_no_letters(spark):
+    """Numbers such as halves, powers and circles are no letters; category L is."""
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(40)] + [(100 + i, f"der Hund und die Katze {i}", "de") for i in range(40)]
+    rows += [(1000, "½ ² ①", None), (1001, "123 !?", None), (1002, "½ª", None), (1003, "́ ⃝", None), (1004, "日", None)]
+    got = {r.doc_id: r for r in L.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].lang_pred == "und" for i in range(1000, 1005)] == [True, True, False, True, False]
+    assert got[1000].score == 0.0
+
+
+def test_rare_languages_and_the_ends_of_long_texts_are_learned(spark):
+    filler = "1234567890 " * 2000
+    rows = [(i, "the cat and the dog sat on the mat " * 3, "en") for i in range(3000)]
+    rows += [(9000 + i, filler + "zwei Hunde und eine Katze liegen im Garten " * 40, "de") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = L.train_on(docs, per_language=50)
+    assert trained["languages"] == ["de", "en"]
+    asked = spark.createDataFrame([(1, "eine Katze und zwei Hunde im Garten", "en"), (2, "the dog sat on the mat", "de")], docs.schema)
+    assert [r.lang_pred for r in L.predict_language(asked, trained).orderBy("doc_id").collect()] == ["de", "en"]
+
+
+def test_a_very_long_text_is_pooled_over_all_its_bytes():
+    rng = np.random.default_rng(3)
+    model = L._init(2, rng)
+    text = rng.integers(32, 127, 96 * 5000 + 17).astype(np.uint8)
+    whole = L.probabilities(text, np.array([0, len(text)]), model)[0]
+    cut = 96 * 1234
+    parts = L.probabilities(text, np.array([0, cut, len(text)]), model)
+    assert np.allclose(whole, (parts[0] * cut + parts[1] * (len(text) - cut)) / len(text))
