@@ -2,8 +2,9 @@
 
 Each partition first contracts its own edges by union-find, which leaves at most one edge per node and partition.
 Large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) then join
-what is left; their number grows with the logarithm of the longest path. Minima are aggregated before the shuffle
-and the joins hold one row per node on one side, so a hub's edges can be split over tasks.
+what is left; their number grows with the logarithm of the longest path. Minima are aggregated before the shuffle and
+written; the joins then hold one row per node on one side and come straight from their exchanges, so Spark can split a
+hub's edges over tasks.
 """
 
 from __future__ import annotations
@@ -56,11 +57,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
         # Large-star: every neighbour above a node is tied to the node's least neighbour (or itself).
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = edges.groupBy("a", "b").agg(F.lit(1).alias("n")).drop("n")
         # Small-star: every neighbour below a node, and the node, are tied to the least of them.
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        edges = materialize(edges)
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")))
         below = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(below.unionAll(least.select("a", F.col("m").alias("b"))).groupBy("a", "b").agg(F.lit(1).alias("n")).drop("n"))
     roots = edges.select(F.col("b").alias("node")).distinct()

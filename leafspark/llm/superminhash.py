@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z) and cut into words at 0x20 and 0x09-0x0D. A text's s
 or its whole sequence if it has fewer words. Defined results: a null, empty or blank text has an empty set and is
 linked with nothing; rows with one set are one node (copies are never paired), so repeated rows, and rows that share
 a doc_id, cost nothing more; the least doc_id of a component names it (null ids come last); an empty table gives no
-rows; other columns are ignored, whatever their names.
+rows; other columns are ignored, whatever their names. A text is held whole, with about 16 bytes for each of its bytes.
 
 A signature draws, for each shingle, a random permutation of the slots and lowers slot p(j) to j + u_j. The ranks of
 one shingle are correlated, which lowers the variance of the similarity estimate, and most shingles stop after a
@@ -14,10 +14,14 @@ about 5e-6. A candidate pair goes on to be confirmed on both full sets if the lo
 often than 5.3 standard deviations above what similarity 0.8 gives, which loses less than 1e-6 of such pairs.
 
 Candidates are stars, not all pairs: each bucket ties its members to the one that shares most buckets with others, the
-likely original. Where a bucket then still holds several components, its members are compared in blocks: all that
-share a hub are dealt into tiles of at most ``CHUNK`` by ``CHUNK`` nodes, first on sketches and sizes, which only tells
-which nodes have a possible partner in another component, then those nodes on full sets. A tile gives a forest of its
-links, never its pairs, so no cap applies and rows stay in proportion to nodes.
+likely original. Where a bucket then still holds several components, its members are compared in tiles: of all that share
+a hub, those outside the hub's largest component visit every chunk of the others, ``CHUNK`` by ``CHUNK`` nodes at a time, first on
+sketches and sizes, which only tells which nodes have a possible partner in another component, then those nodes on full
+sets. A tile gives a forest of its links, never its pairs, so no cap applies. A hub with n nodes, m of them outside its
+largest component, makes n * ceil(m / CHUNK) + m * ceil(n / CHUNK) rows: in proportion to n where stars have linked most.
+
+A set is known by 128 bits of hash, so that different sets are not taken for copies in any corpus. Small tables that are
+joined back to the rows that they were counted from are written first: then Spark can split the joins' hot keys.
 """
 
 from __future__ import annotations
@@ -107,11 +111,13 @@ def most_different(slots: int, percent: int) -> int:
     return int(slots * p + MARGIN * (slots * p * (1 - p)) ** 0.5) + 1
 
 
-def _fingerprints(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set: sums of two hashes of its elements, and its size."""
-    sums = [np.concatenate([[U64(0)], np.cumsum(mix(elements ^ U64(seed)), dtype=U64)]) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    a, b = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
-    return mix(mix(a + np.diff(offsets).astype(U64)) + b)
+def _fingerprints(elements: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128 bits of hash of each set: sums of four hashes of its elements, and its size."""
+    seeds = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix(elements ^ U64(seed)), dtype=U64)]) for seed in seeds]
+    a, b, c, d = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
+    size = np.diff(offsets).astype(U64)
+    return tuple(pa.array(mix(mix(x + size) + y).view(np.int64)) for x, y in ((a, b), (c, d)))
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -124,8 +130,8 @@ def _sign(k: int, slots: int, bands: int):
             for row, end, data, offsets in text_slices(batch.column(1), _SIGN_BYTES):
                 elements, at = shingle_sets(data, offsets, k)
                 signature = signatures(elements, at, slots)
-                marks = _bands(signature, bands)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "mark": batch.column(2)[row:end], "n": pa.array(np.diff(at)), "node": pa.array(_fingerprints(elements, at).view(np.int64)), "bands": _lists(marks), "sketch": _lists(_sketches(signature))})
+                f, g = _fingerprints(elements, at)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "mark": batch.column(2)[row:end], "n": pa.array(np.diff(at)), "f": f, "g": g, "bands": _lists(_bands(signature, bands)), "sketch": _lists(_sketches(signature))})
 
     return run
 
@@ -136,29 +142,26 @@ def _sets(k: int):
             for _, _, data, offsets in text_slices(batch.column(1)):
                 elements, at = shingle_sets(data, offsets, k)
                 values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(_fingerprints(elements, at).view(np.int64)), "items": values})
+                f, g = _fingerprints(elements, at)
+                yield pa.RecordBatch.from_pydict({"f": f, "g": g, "items": values})
 
     return run
 
 
 def _possible(run: pa.RecordBatch, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes of a tile, their groups, and the places (left, right) of pairs in different groups that sizes and
+    """The nodes of a tile, their groups, and the places (visitor, resident) of pairs in different groups that sizes and
     sketches allow."""
     side, node, group, n = (run.column(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "group", "n"))
     sketch = run.column("sketch")
     sketch = sketch.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    inside = not len(right)
-    if inside:
-        right = left
-    apart = np.zeros((len(left), len(right)), np.int16)
+    here, there = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    apart = np.zeros((len(here), len(there)), np.int16)
     for k in range(sketch.shape[1]):
-        apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None])
-    a, b = n[left][:, None], n[right][None]
-    fits = (apart <= most) & (group[left][:, None] != group[right][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        apart += np.bitwise_count(sketch[here, k][:, None] ^ sketch[there, k][None])
+    a, b = n[here][:, None], n[there][None]
+    fits = (apart <= most) & (group[here][:, None] != group[there][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
     i, j = np.nonzero(fits)
-    i, j = left[i], right[j]
-    return node, group, *((i[i < j], j[i < j]) if inside else (i, j))
+    return node, group, here[i], there[j]
 
 
 def _flag(percent: int, most: int):
@@ -222,19 +225,24 @@ def _compare(percent: int, most: int):
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Rows (hub, node, ...) dealt to tiles: each meets all of its hub's other rows, in chunks; sorted for runs()."""
-    counts = members.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
-    dealt = members.join(counts, "hub").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    dealt = dealt.withColumn("to", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = dealt.withColumns({"left": F.least("chunk", "to"), "right": F.greatest("chunk", "to"), "side": F.expr("cast(chunk > to as int)")})
-    keys = ["hub", "left", "right"]
-    return dealt.select(*keys, "side", *[c for c in members.columns if c != "hub"]).repartition(*keys).sortWithinPartitions(*keys)
+    """Rows (hub, node, group, ...) dealt to tiles: every node resides in a chunk of its hub, and those outside the hub's largest
+    group also visit all chunks, in chunks themselves; sorted for runs()."""
+    groups = materialize(members.groupBy("hub", "group").agg(F.count("*").alias("k")))
+    hubs = groups.groupBy("hub").agg(F.max_by("group", F.struct("k", "group")).alias("largest"), F.sum("k").alias("k"), F.max("k").alias("inside"))
+    hubs = materialize(hubs.select("hub", "largest", F.expr(f"cast(ceil(k / {CHUNK}) as int)").alias("homes"), F.expr(f"cast(ceil((k - inside) / {CHUNK}) as int)").alias("guests")))
+    dealt = members.join(hubs, "hub").withColumn("home", F.expr("cast(pmod(xxhash64(node), homes) as int)"))
+    rest = [c for c in members.columns if c != "hub"]
+    residents = dealt.select("hub", "home", F.explode(F.expr("sequence(0, guests - 1)")).alias("guest"), F.lit(0).alias("side"), *rest)
+    visitors = dealt.where("group <> largest").withColumn("guest", F.expr("cast(pmod(xxhash64(node, 1), guests) as int)"))
+    visitors = visitors.select("hub", F.explode(F.expr("sequence(0, homes - 1)")).alias("home"), "guest", F.lit(1).alias("side"), *rest)
+    keys = ["hub", "home", "guest"]
+    return residents.unionByName(visitors).repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sets have 100 * intersection >= percent * union. b is the hub of a star: its partners are
     split into blocks of about BLOCK, so that no task gets all of a hub's rows."""
-    hubs = pairs.groupBy("b").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    hubs = materialize(pairs.groupBy("b").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")))
     left = pairs.join(hubs, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a, b), blocks) as int)").alias("block"))
     left = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     right = hubs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("b", "y", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
@@ -250,15 +258,16 @@ def _grouped(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS,
     """(doc_id, mark, n, component, component_id) for each row of ``docs``: a hash of its text, the size of its set, and
     the component's number and least doc_id, which are null for an empty set."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark"))
-    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, mark long, n long, node long, bands array<long>, sketch array<long>"))
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes)
+    signed = materialize(texts.mapInArrow(_sign(k, slots, bands), "doc_id long, mark long, n long, f long, g long, bands array<long>, sketch array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
+    nodes = signed.where("n > 0").groupBy("f", "g").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "f", "g", "least.doc_id", "least.mark", "n", "bands", "sketch"))
     places = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = materialize(places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     shared = materialize(places.join(buckets, "bucket").select("bucket", "node", "members"))
     degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
     hubs = shared.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
-    shared = materialize(shared.join(hubs, "bucket").select("bucket", "node", "hub"))
+    shared = materialize(shared.join(materialize(hubs), "bucket").select("bucket", "node", "hub"))
     stars = shared.where("node <> hub").groupBy("node", "hub").agg(F.lit(1).alias("x"))
     sketches = nodes.select("node", "sketch")
     stars = stars.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
@@ -267,32 +276,35 @@ def _grouped(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS,
     stars = materialize(stars.where(f"{apart.format('sketch', 'hub_sketch')} <= {most}").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     def full_sets(wanted: DataFrame) -> DataFrame:
-        """The sets of some nodes, made again from their texts. Their ids grow with the corpus: never broadcast."""
-        ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
-        rows = texts.join(materialize(ids).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        return materialize(rows.mapInArrow(_sets(k), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
+        """The sets of some nodes, made again from their texts. Their keys grow with the corpus: never broadcast."""
+        keys = materialize(wanted.join(nodes.select("node", "f", "g", "doc_id", "mark"), "node"))
+        of = keys.select(F.col("doc_id").alias("id"), F.col("mark").alias("key")).distinct().hint("merge")
+        rows = texts.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("key")), "left_semi").select("doc_id", "text")
+        sets = rows.mapInArrow(_sets(k), "f long, g long, items array<long>").groupBy("f", "g").agg(F.first("items").alias("items"))
+        return materialize(sets.join(keys.select("node", "f", "g"), ["f", "g"]).select("node", "items"))
 
     in_stars = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = materialize(_verified(stars, full_sets(in_stars), percent))
     groups = connected_components(links)
     # What stars may miss: members of one bucket in different components.
-    placed = shared.join(groups, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("group"))
-    split = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-    rest = placed.where("node <> hub").join(split, "bucket").groupBy("hub", "node").agg(F.first("group").alias("group"))
-    mixed = rest.groupBy("hub").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("hub")
+    placed = materialize(shared.join(groups, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("group")))
+    split = materialize(placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket"))
+    rest = materialize(placed.where("node <> hub").join(split, "bucket").groupBy("hub", "node").agg(F.first("group").alias("group")))
+    mixed = materialize(rest.groupBy("hub").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("hub"))
     rest = materialize(rest.join(mixed, "hub").join(nodes.select("node", "n", "sketch"), "node"))
     flagged = materialize(_tiles(rest).mapInArrow(_flag(percent, most), "hub long, node long").distinct())
     if not flagged.isEmpty():
         sets = full_sets(flagged.select("node").distinct())
-        open_ = rest.join(flagged, ["hub", "node"]).join(sets, "node").select("hub", "node", "group", "n", "sketch", "items")
+        open_ = materialize(rest.join(flagged, ["hub", "node"]).join(sets, "node").select("hub", "node", "group", "n", "sketch", "items"))
         more = materialize(_tiles(open_).mapInArrow(_compare(percent, most), "a long, b long"))
         if not more.isEmpty():
             groups = connected_components(links.unionAll(more))
 
-    named = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component", "component_id")
-    return signed.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left").drop("node")
+    named = nodes.select("node", "f", "g", "doc_id").join(groups, "node", "left").select("f", "g", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = named.join(least, "component").select("f", "g", "component", "component_id")
+    own = [F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("f", "g")]
+    return signed.select("doc_id", "mark", "n", *own).join(named, ["f", "g"], "left").drop("f", "g")
 
 
 def minhash_groups(docs: DataFrame, **options) -> DataFrame:
@@ -305,20 +317,21 @@ def minhash_groups(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, with all columns: of the rows with its least doc_id (null last) one with the least hash
-    of its text, whatever other rows have that doc_id. Rows with empty sets are linked with nothing and all stay."""
-    found = _grouped(docs, **options)
+    of its text, whatever other rows have that doc_id; of equal rows one. Rows with empty sets are linked with nothing and
+    all stay."""
+    found = materialize(_grouped(docs, **options))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     linked = found.where("n > 0").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
     best = linked.groupBy("component").agg(F.min(F.struct(key.alias("key"), "rows")).alias("best"))
-    keys = best.select(F.col("best.key.doc_id").alias("__id"), F.col("best.key.mark").alias("__mark"), F.col("best.rows").alias("__rows"))
-    keys = keys.unionAll(found.where("n = 0").select("doc_id", "mark", F.lit(1).cast("long")).distinct())
-    keys = materialize(keys)
+    keys = best.select("best.key.doc_id", "best.key.mark", "best.rows")
+    keys = materialize(keys.unionAll(found.where("n = 0").select("doc_id", "mark", F.lit(1).cast("long")).distinct()))
 
     def rows_of(some: DataFrame) -> DataFrame:
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark"))
-        return docs.join(some.select("__id", "__mark").hint("merge"), same, "left_semi")
+        kept = F.col("kept.doc_id")
+        same = F.col("doc.doc_id").cast("long").eqNullSafe(kept) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("kept.mark"))
+        return docs.alias("doc").join(some.select("doc_id", "mark").hint("merge").alias("kept"), same, "left_semi")
 
-    repeated = keys.where("__rows > 1")
+    repeated = keys.where("rows > 1")
     if repeated.isEmpty():
         return rows_of(keys)
-    return rows_of(keys.where("__rows = 1")).unionAll(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
+    return rows_of(keys.where("rows = 1")).unionAll(rows_of(repeated).dropDuplicates(["doc_id", "text"]))

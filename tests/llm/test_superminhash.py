@@ -97,3 +97,29 @@ def test_members_that_their_hub_does_not_link(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     got = {r.doc_id: r.component_id for r in S.minhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
     assert got == {d: c for d, _, c in brute(rows, 4, 80)}
+
+
+def test_tiles_meet_each_pair_of_groups(spark, monkeypatch):
+    """Every pair of a hub's nodes in different groups shares a tile, whatever the groups' sizes; rows stay near n."""
+    monkeypatch.setattr(S, "CHUNK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(h, int(i), int(g)) for h, sizes in enumerate([(300, 1, 1, 5), (40, 40, 40), (1, 1)]) for i, g in enumerate(np.repeat(np.arange(len(sizes)), sizes))]
+    rng.shuffle(rows)
+    tiles = S._tiles(spark.createDataFrame([tuple(map(int, r)) for r in rows], "hub long, node long, group long")).collect()
+    met, at = set(), {}
+    for t in tiles:
+        at.setdefault((t.hub, t.home, t.guest), ([], []))[t.side].append((t.node, t.group))
+    for (hub, _, _), (homes, guests) in at.items():
+        met |= {(hub, *sorted((a, b))) for a, g in homes for b, h in guests if g != h}
+    of = {(h, i): g for h, i, g in rows}
+    assert met == {(h, *sorted((i, j))) for h, i, g in rows for (k, j), f in of.items() if k == h and f != g}
+    assert sum(t.hub == 0 for t in tiles) <= 307 + 7 * 20
+
+
+def test_clashing_columns_stay(spark):
+    names = ["kept", "rows", "mark", "component", "f", "g", "node", "hub", "n", "id", "key"]
+    rows = [(1, "a b c d e f", *map(str, range(11))), (2, "a b c d e f", *map(str, range(11))), (3, "x y", *map(str, range(11)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = S.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert sorted((r.doc_id, r.component_id) for r in S.minhash_groups(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
