@@ -1,6 +1,7 @@
 """Sharding, mixing, quality rules and chat formatting."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -103,6 +104,60 @@ def test_quality_measures_match_brute_force(name, request):
         assert not (r.base_failed and r.kept)
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark, docs, monkeypatch):
+    """With a hash of a few values, counts are still exact."""
+    monkeypatch.setattr(weak_quality, "WINDOW_HASH", "cast(length(words[i]) % 3 as bigint)")
+    rows = weak_quality.measures(docs.where("length(text) < 3000").select("doc_id", "text"), ["doc_id", "text"]).select("text", "n_repeat_words").collect()
+    assert all(r.n_repeat_words == brute_quality(r.text)[4] for r in rows) and sum(r.n_repeat_words > 0 for r in rows) > 3
+
+
+START = [[0.02] * 8] + [[0.9 if r == k else 0.2 for r in range(8)] for k in range(8)]
+
+
+def plain_posterior(share, bad, votes):
+    joint = [s * math.prod(p if v < 0 else 1 - p if v > 0 else 1 for p, v in zip(rates, votes)) for s, rates in zip(share, bad)]
+    return [j / sum(joint) for j in joint]
+
+
+def plain_em(votes, rounds=60):
+    """EM row by row: no table of patterns."""
+    share, bad = [0.8] + [0.025] * 8, START
+    for _ in range(rounds):
+        posts = [plain_posterior(share, bad, v) for v in votes]
+        mass = [sum(p[c] for p in posts) for c in range(9)]
+        new = []
+        for c in range(9):
+            new.append([])
+            for r in range(8):
+                down = sum(p[c] for p, v in zip(posts, votes) if v[r] < 0)
+                up = sum(p[c] for p, v in zip(posts, votes) if v[r] > 0)
+                expected = 0.01 if c == 0 else 0.9 if r == c - 1 else 0.2
+                weight = (0.1 if c == 0 or r == c - 1 else 0.01) * mass[c] + 1
+                new[c].append((down + weight * expected) / (down + up + weight))
+        bad, share = new, [(m + 0.001 * len(votes)) / (len(votes) * 1.009) for m in mass]
+    return share, bad
+
+
+def test_em_equals_a_plain_version(spark, docs):
+    voted = weak_quality.votes(weak_quality.measures(docs, ["doc_id"]))
+    share, bad = plain_em([r.votes for r in voted.select("votes").collect()])
+    model = weak_quality.estimate(voted)
+    assert np.allclose(model["share"], share) and np.allclose(model["bad"], bad)
+
+
+def test_the_posterior_is_not_all_must_pass(spark):
+    """One bad vote of a rule that the others don't second is outvoted; the same text under two rules' bad votes goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    clean = [r.text for r in docs.where("doc_id < 400").collect() if r.text and 200 < len(r.text.split()) < 400 and brute_quality(r.text)[2] == 0 and brute_quality(r.text)[4] == 0][:2]
+    excited = " ".join(w + "!" if i % 5 < 2 else w for i, w in enumerate(clean[0].split()))
+    junk = " ".join(w + "#$%" if i % 5 < 2 else w for i, w in enumerate(clean[1].split()))
+    more = spark.createDataFrame([(-1, clean[0]), (-2, excited), (-3, junk)], "doc_id long, text string")
+    got = {r.doc_id: r for r in weak_quality.score_quality(docs.unionByName(more), ["doc_id"]).where("doc_id < 0").collect()}
+    assert min(got[-1].votes) == 1 and got[-1].kept
+    assert got[-2].votes.count(-1) == 1 and got[-2].kept, "all-must-pass would reject it"
+    assert got[-3].votes[2] == -1 and not got[-3].kept
+
+
 def test_em_tells_good_from_bad(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from leafspark.llm import packing, secrets_scan, weak_quality
 from leafspark.llm.queries import tokenizer_path
-from tests.llm.test_native import WORD, brute_quality, brute_targets
+from tests.llm.test_native import WORD, brute_quality, brute_targets, plain_em, plain_posterior
 from tests.llm.test_superminhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -27,43 +27,11 @@ def rule_votes(text):
     return votes, n < 50 or 100 * repeat > 50 * n
 
 
-def posteriors(model, v):
-    joint = [s * math.prod(r if x < 0 else 1 - r if x > 0 else 1 for r, x in zip(rates, v)) for s, rates in zip(model["share"], model["bad"])]
-    return [j / sum(joint) for j in joint]
-
-
-def em(votes):
-    model = weak_quality._start()
-    patterns = Counter(votes)
-    for _ in range(weak_quality.ROUNDS):
-        mass = np.zeros(len(model["share"]))
-        bad, good = np.zeros((len(mass), len(weak_quality.RULES))), np.zeros((len(mass), len(weak_quality.RULES)))
-        for v, n in patterns.items():
-            for c, p in enumerate(posteriors(model, v)):
-                mass[c] += n * p
-                bad[c] += n * p * (np.array(v) < 0)
-                good[c] += n * p * (np.array(v) > 0)
-        rates = []
-        for c in range(len(mass)):
-            own = []
-            for r in range(len(weak_quality.RULES)):
-                expected, weight = (0.01, 0.5) if c == 0 else (0.9, 0.5) if r == c - 1 else (0.2, 0.05)
-                weight = weight * mass[c] + 1
-                own.append((bad[c, r] + weight * expected) / (bad[c, r] + good[c, r] + weight))
-            rates.append(own)
-        moved = max(abs(a - b) for x, y in zip(rates, model["bad"]) for a, b in zip(x, y))
-        total = mass.sum()
-        model = {"share": [(m + 0.001 * total) / (total * (1 + 0.001 * len(mass))) for m in mass], "bad": rates}
-        if moved < 1e-3:
-            break
-    return model
-
-
 def test_run_equals_plain_python(spark):
     docs = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     voted = [rule_votes(t) for _, t, _ in docs]
-    model = em([v for v, _ in voted])
-    docs = [d for d, (v, failed) in zip(docs, voted) if not failed and posteriors(model, v)[0] >= 0.5]
+    share, bad = plain_em([v for v, _ in voted])
+    docs = [d for d, (v, failed) in zip(docs, voted) if not failed and plain_posterior(share, bad, v)[0] >= 0.5]
     kept = {d for d, _, c in brute([(d, t) for d, t, _ in docs], 5, 80) if d == c}
     docs = [d for d in docs if d[0] in kept]
 
