@@ -1,15 +1,18 @@
 """Secret scans with corpus-wide ownership: copied examples apart from credentials of one owner.
 
 A scan of every whole text finds candidates. Their values' hashes are then counted over the corpus by distinct
-repositories and by distinct owners: a value that many owners carry is a published example, a value of one owner or
-two that looks random is a live credential. Candidates of the base kinds are always reported; those of the wider kind
+repositories and by distinct owners. A value that several owners carry is a published example, and so is one that a great
+many repositories carry, whoever owns them; a value of one owner or two, in fewer repositories, that looks random is a
+live credential. A repository is a different text, so that copies of a document which leaks a credential, under whatever
+ids, don't make it an example. Candidates of the base kinds are always reported; those of the wider kind
 ``key`` (well-known token prefixes, signed web tokens) become spans only if the counts say live.
 
 Distinct (value, owner) and (value, repository) pairs are reduced before they are counted, so a value that a third of
 all rows hold is one row per task; its verdict comes back by a join that AQE can split. Texts aren't shuffled.
 
-Defined results: a null or empty text has no spans; rows that share a doc_id are one repository and are scanned each
-on its own; a null owner counts as one owner; an empty table gives no rows; extra columns are ignored.
+Defined results: a null or empty text has no spans; every row is scanned on its own, whatever its doc_id; rows of equal
+text are one repository; rows without an owner are one owner, other than the empty one; an empty table gives no rows;
+extra columns are ignored by scan_secrets() and kept by redact_secrets(), whatever their names. A text is held whole.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 KINDS = ("assign", "access", "hex", "key")
-#: A value that this many owners hold is an example.
+#: A value that this many owners, or this many repositories, hold is an example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 100
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -81,7 +85,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out | {"base_sha256": pa.array(base), "found": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)})
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """For each row: doc_id, text_key (xxhash64 of the text), n_assign, n_access, n_hex, base_sha256, n_live, n_example,
     spans (as text) and live (an array of the spans that look like credentials of one owner)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -91,11 +95,11 @@ def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = E
     each = scanned.where("size(found) > 0").withColumn("row", F.monotonically_increasing_id())
     each = materialize(each.select("row", "doc_id", "owner", "text_key", "base_sha256", F.explode("found").alias("span")))
     value = F.col("span.value").alias("value")
-    owners = each.select(value, F.coalesce("owner", F.lit("")).alias("owner")).distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    repositories = each.select(value, F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct().groupBy("value").agg(F.count("*").alias("repositories"))
+    owners = each.select(value, F.col("owner").isNull().alias("nobody"), "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    repositories = each.select(value, "text_key").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
     counted = materialize(owners.join(repositories, "value"))
     judged = each.withColumn("value", F.col("span.value")).join(counted, "value")
-    judged = judged.withColumn("example", F.col("owners") >= example_owners).withColumn("is_live", ~F.col("example") & F.col("span.shaped"))
+    judged = judged.withColumn("example", (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).withColumn("is_live", ~F.col("example") & F.col("span.shaped"))
 
     def count(kind: int):
         return F.count_if(F.col("span.kind") == kind).alias(f"n_{KINDS[kind]}")
@@ -119,32 +123,33 @@ def scan_secrets(docs: DataFrame, owner: str = "source", example_owners: int = E
     return found.unionByName(none, allowMissingColumns=True)
 
 
-def _redact(mark: str, texts: str, spans: str):
+def _redact(mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, live in zip(batch.column(texts).to_pylist(), batch.column(spans).to_pylist(), strict=True):
+            for text, live in zip(batch.column("text").to_pylist(), batch.column("live").to_pylist(), strict=True):
                 at, parts = 0, []
                 for s in sorted(live or [], key=lambda s: (s["value_start"], -s["value_end"])):
                     if s["value_start"] >= at:
                         parts += [text[at : s["value_start"]], mark]
                     at = max(at, s["value_end"])
                 out.append("".join([*parts, text[at:]]) if live else text)
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == texts else c for n, c in columns.items() if n != spans})
+            yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(out, pa.string()))
 
     return run
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each live credential replaced by ``mark``; examples stay; n_chars, if there, follows the new text."""
-    live = scan_secrets(docs, **options).where("n_live > 0").groupBy("doc_id", "text_key").agg(F.first("live").alias("__live"))
-    live = materialize(live).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    live = scan_secrets(docs, **options).where("n_live > 0").groupBy("doc_id", "text_key").agg(F.first("live").alias("live"))
+    live = materialize(live).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = docs.join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__live")
-    plain = both.where("__live is null").drop("__live")
-    changed = both.where("__live is not null").mapInArrow(_redact(mark, "text", "__live"), docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(text).alias("mark"))
+    both = rows.join(live, F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("key")), "left").select("row", "live")
+    plain = both.where("live is null").select("row.*")
+    changed = both.where("live is not null").select("row", F.col("row.text").cast("string").alias("text"), "live")
+    changed = changed.mapInArrow(_redact(mark), changed.schema)
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(changed)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return plain.unionByName(changed.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)))
