@@ -4,13 +4,16 @@ Sizes are word counts (runs of characters other than 0x20 and 0x09-0x0D). Source
 weigh 1, 2, 3 in turn and share all words; a target stops at ``most`` times its source, and the excess is shared
 again by weight. That is water filling: with sources in order of size by weight, the capped ones come first, so two
 running sums give the level at which the rest stand. A document of a source with rate r is taken floor(r) times and
-once more if a hash of its doc_id, read as a number from 0 to 1, is below the fraction of r.
+once more if a hash of its doc_id, its text and its number among equal rows, read as a number from 0 to 1, is below the
+fraction of r. So rows that share a doc_id, or have none, are drawn each on its own, and a source comes near its target
+even if one row makes up most of it.
 
-Documents are never shuffled: the source table is written, its size is then known, and Spark broadcasts it if it is
-below spark.sql.autoBroadcastJoinThreshold and otherwise splits the join by AQE.
+Texts aren't shuffled but for rows that occur several times: the source table is written, its size is then known, and
+Spark broadcasts it if it is below spark.sql.autoBroadcastJoinThreshold and otherwise splits the join by AQE.
 
-Defined results: a null text has size 0; a source without words has target 0 and is never taken; rows that share
-a doc_id are taken alike; null ids hash as the empty string; an empty table gives no rows; extra columns are kept.
+Defined results: a null text has size 0 and is drawn as an empty one; a source without words has target 0 and is never
+taken; of equal rows each has its own draw, and reruns take as many of them; null ids hash as the empty string; an empty
+table gives no rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinal
 from .store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,9 +56,10 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def repetition_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """Each row of ``docs`` as a struct ``row``, with size, source_size, target and copies."""
     targets = materialize(source_targets(docs, weights, most)).withColumnRenamed("source", "__source")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("__own"), word_count(F.col("text").cast("string")).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"))
-    rows = rows.join(targets, F.col("__own").eqNullSafe(F.col("__source")))
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__id"))), 1, 13), 16, 10).cast("long")
+    text, doc_id = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("__own"), word_count(text).alias("size"), doc_id.alias("__id"), F.md5(F.coalesce(text, F.lit(""))).alias("__text"))
+    rows = with_ordinal(rows, ["__id", "__text"], "__nth").join(targets, F.col("__own").eqNullSafe(F.col("__source")))
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "__id", "__text", F.col("__nth").cast("string"))), 1, 13), 16, 10).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     once_more = digits / F.lit(float(1 << 52)) < rate - F.floor(rate)
     return rows.select("row", "size", "source_size", "target", (F.floor(rate) + once_more.cast("long")).alias("copies"))

@@ -64,7 +64,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :hard), (-7L, 1L, 'assistant', :hard) AS t (conv_id, turn, role, text)", args={"hard": hard})
     return chat.digests(chat.format_examples(said.unionByName(more)))
 
 
@@ -85,7 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _MIXING_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS text_md5,
+         row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) - 1 AS nth FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -103,7 +104,7 @@ WITH sized AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, water.level * weight) AS target FROM levels, water
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5 || ':' || nth), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM rated

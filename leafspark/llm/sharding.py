@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinal
 from .store import materialize
 
 
@@ -52,9 +53,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> Dat
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, overhead: int = 8) -> None:
-    """Write the rows of ``docs``, all columns, as Parquet in folders ``shard=N``; equal rows go to the first of their shards."""
+    """Write the rows of ``docs``, all columns, as Parquet in folders ``shard=N``, as many equal rows to each shard as
+    shard_documents() puts there. Equal rows are numbered on both sides, so no key gathers them."""
+    key = ["__id", "__bytes", "__crc"]
+    plan = shard_documents(docs, shards, overhead).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("size").alias("__bytes"), F.col("text_crc32").alias("__crc"), "shard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plan = shard_documents(docs, shards, overhead).groupBy("doc_id", "size", "text_crc32").agg(F.min("shard").alias("shard"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("bytes"), F.crc32(text).alias("crc"))
-    on = keyed.id.eqNullSafe(plan.doc_id) & (keyed.bytes == plan["size"]) & (keyed.crc == plan.text_crc32)
-    keyed.join(plan, on).select("row.*", "shard").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("__id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("__bytes"), F.crc32(text).alias("__crc"))
+    both = with_ordinal(rows, key).join(with_ordinal(plan, key), [*key, "nth"])
+    both.select("row.*", "shard").write.partitionBy("shard").parquet(path)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafspark.llm import chat, mixing, sharding, weak_quality
+from leafspark.llm.ordinals import with_ordinal
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,6 +46,10 @@ def test_written_shards(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == odd.count() and set(back.columns) == {*odd.columns, "shard"}
+    same = spark.createDataFrame([(1, "abc")] * 100 + [(None, "x")] * 20, "doc_id long, text string")
+    sharding.write_shards(same, str(tmp_path / "t"), 4)
+    want = Counter((r.doc_id, r.shard) for r in sharding.shard_documents(same, 4).collect())
+    assert Counter((r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == want
 
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
@@ -80,6 +85,26 @@ def test_mixing_follows_water_filling(name, request):
     assert mixed.count() == sum(r.copies for r in plan)
 
 
+def test_equal_rows_are_drawn_each_on_its_own(spark):
+    """A source whose rows have no id, or one row many times, still comes near its target; reruns agree."""
+    rows = [(None, "a b c d e", "a")] * 400 + [(7, f"t{i} x", "b") for i in range(500)] + [(i, "w " * 20, "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = [Counter((r.row.doc_id, r.row.text, r.row.source, r.copies) for r in mixing.repetition_plan(d).collect()) for d in (docs, docs.repartition(7))]
+    assert took[0] == took[1]
+    plan = mixing.repetition_plan(docs)
+    for r in plan.groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.1)
+
+
+def test_ordinals_of_a_hot_key(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 40}", i) for i in range(60)], "k string, x int").repartition(9)
+    got = with_ordinal(rows, ["k"]).collect()
+    of = defaultdict(list)
+    for r in got:
+        of[r.k].append(r.nth)
+    assert len(got) == 560 and all(sorted(v) == list(range(len(v))) for v in of.values()) and len(of["hot"]) == 500
+
+
 def test_mixing_empty(empty):
     assert mixing.mix_sources(empty).count() == 0
 
