@@ -1,21 +1,26 @@
 """Substring dedup on sliding sentence spans.
 
-A text is cut into sentences: after a word that ends in ``.``, ``!``, ``?`` or a closing quote or bracket behind one,
-before a word that starts a new line, and into clauses of a few words after each word whose hash is a multiple of 8,
-so that passages without punctuation, or pasted into the middle of a sentence, align too.
-All three depend on the words at the cut only, so a passage is cut alike wherever it stands. From each sentence a span
-runs over several consecutive sentences: two at least, and on to ``min_words`` words; and one runs back from each
-sentence's end in the same way, so that a passage is covered to both of its ends. Every span is hashed over its words
-(case kept, whitespace not). The least doc_id of each hash is found over the whole corpus, and a span is a
-repeat if a smaller doc_id holds it or it stood earlier in its own text. Sentences that a repeated span covers are
-removed, so the first occurrence stays and partly overlapping runs are removed to their ends.
+A text is cut into sentences: after a word that ends in a sentence mark (of several scripts) or a closing quote or bracket
+behind one, before a word that starts a new line, and into clauses by winnowing: in every run of ``GAP`` words a cut comes
+after the one with the least hash, so no clause is longer and passages without punctuation, or pasted into the middle of a
+sentence, align too. All three depend on words near the cut only, so a passage is cut alike wherever it stands, but for
+its first and last few words. Scripts without spaces count each character as half a word.
+
+From each sentence a span runs over several consecutive sentences: two at least, and on to ``min_words`` words; and one runs
+back from each sentence's end in the same way. Every span is hashed over its words (case kept, whitespace not). The least
+document of each hash is found over the whole corpus, by doc_id and then by a hash of the text; a span is a repeat if a
+lesser document holds it or it stood earlier in its own text. A repeated span grows word by word to both sides, up to
+``GAP`` words, as long as the words are those around the span's first occurrence: so a passage goes to its ends and not only to
+the cuts nearest to them. Sentences and words that repeats cover are removed; the first occurrence stays.
 
 A document sends each hash once, minima are taken before the shuffle, and only hashes of several documents are joined
-back, one row each, so a passage that a third of all documents share can be split over tasks.
+back, one row each, so a passage that a third of all documents share can be split over tasks. The words around a span are
+sent by its first holder only, and for spans that others hold.
 
-Defined results: null ids come last and count as one document, as do rows that share a doc_id (only the same text's
-own repeats are removed between them); a null text stays null; a text that is all repeats becomes empty; other text is
-returned as it was, whitespace included; repeated rows share their result; an empty table gives no rows.
+Defined results: a document is a doc_id and a text; null ids come last; rows equal in both are one document and share
+their result; rows that share an id only are documents of their own; a null text stays null; a text that is all repeats
+becomes empty; other text is returned as it was, whitespace included; an empty table gives no rows; other columns are
+ignored. A text is held whole, with some 40 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -24,82 +29,209 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .npbytes import _STEPS, U64, mix, text_slices, word_hashes, word_starts
+from .npbytes import _BYTES, _STEPS, U64, WHITESPACE, mix, segment_hashes, text_slices
 from .store import materialize
 
-MIN_WORDS = 13
+MIN_WORDS = 20
 MIN_SENTENCES = 2
+#: Words of which one ends a clause, and so the most by which a repeat is grown to a side.
+GAP = 16
 _LAST = 2**63 - 1
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _CLOSER = np.zeros(256, bool)
 _CLOSER[[ord(c) for c in "\"')]}"]] = True
+#: Sentence marks of other scripts, by their last bytes.
+_MARKS = [c.encode() for c in "。！？｡।؟۔"]
 
 
-def _sentences(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
-    """Sentences of all texts of a slice: their first bytes, the sentences before each text (one more than texts), and
-    the spans: text, first sentence, the sentence after the last, and hash."""
-    words, owner, before = word_hashes(data, offsets, lower=False)
-    n = len(words)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return {"start": none, "bounds": np.zeros(len(offsets), np.int64), "owner": none, "first": none, "after": none, "hash": np.zeros(0, U64)}
-    starts, space = word_starts(data, offsets)
-    # The last byte of each word: before the first whitespace behind it, or before the next text.
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Whether a character begins here that is written without spaces: Thai, Lao, Kana, Han and full-width forms."""
+    next_ = np.append(data[1:], np.uint8(0))
+    return ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (next_ >= 0xB8) & (next_ <= 0xBB)) | ((data == 0xEF) & (next_ >= 0xBC) & (next_ <= 0xBE)) | ((data == 0xF0) & (next_ >= 0xA0))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The words of all texts of a slice, unspaced characters as words of their own: first byte, byte after the last, text,
+    half words before (one more than words), hash, and the words before each text (one more than texts)."""
+    space = WHITESPACE[data]
+    alone = _unspaced(data)
+    first = np.empty(len(data), bool)
+    first[:1] = True
+    first[1:] = space[:-1]
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    first |= alone
+    at = np.flatnonzero(alone)
+    behind = at + np.where(data[at] >= 0xF0, 4, 3)
+    first[behind[behind < len(data)]] = True
+    first &= ~space
+    start = np.flatnonzero(first)
+    values = _BYTES[data]
+    values[space] = 0
+    before = np.searchsorted(start, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     gap = np.flatnonzero(space)
-    ends = np.append(gap, len(data))[np.searchsorted(gap, starts)]
-    last = np.minimum(ends, offsets[owner + 1]) - 1
-    closed = _CLOSER[data[last]] & (last > starts)
-    stop = _STOP[data[last]] | (closed & _STOP[data[np.maximum(last - 1, 0)]])
+    end = np.append(gap, len(data))[np.searchsorted(gap, start)]
+    end = np.minimum(np.minimum(end, np.append(start[1:], len(data))), offsets[owner + 1])
+    halves = np.concatenate([[0], np.cumsum(2 - alone[start])])
+    return {"start": start, "end": end, "owner": owner, "halves": halves, "hash": segment_hashes(values, start, len(data)), "before": before}
+
+
+def _ends_clause(hashes: np.ndarray, owner: np.ndarray, gap: int) -> np.ndarray:
+    """Whether a word has the least hash of some run of ``gap`` words of its text; of equal ones the first."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) >= gap:
+        inside = owner[: len(hashes) - gap + 1] == owner[gap - 1 :]
+        least = np.empty(len(inside), np.int64)
+        for at in range(0, len(inside), 1 << 16):
+            runs = sliding_window_view(hashes[at : at + (1 << 16) + gap - 1], gap)
+            least[at : at + (1 << 16)] = runs.argmin(axis=1) + np.arange(at, at + len(runs))
+        out[least[inside]] = True
+    return out
+
+
+def sentence_starts(data: np.ndarray, w: dict[str, np.ndarray], gap: int = GAP) -> np.ndarray:
+    """The first word of each sentence or clause."""
+    start, end, owner, n = w["start"], w["end"], w["owner"], len(w["start"])
+    last = end - 1
+    stop = _STOP[data[last]] | (_CLOSER[data[last]] & (last > start) & _STOP[data[np.maximum(last - 1, 0)]])
+    for mark in _MARKS:
+        same = last - start >= len(mark) - 1
+        for k, byte in enumerate(reversed(mark)):
+            same &= data[np.maximum(last - k, 0)] == byte
+        stop |= same
+    stop |= _ends_clause(w["hash"], owner, gap)
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     first = np.empty(n, bool)
-    first[0] = True
-    first[1:] = stop[:-1] | (newlines[starts[1:]] > newlines[last[:-1]]) | (words[:-1] & U64(7) == 0)
-    first[before[:-1][before[:-1] < n]] = True
-    word = np.flatnonzero(first)  # the first word of each sentence
-    of = owner[word]
-    bounds = np.searchsorted(word, before)
-    edge = np.append(word, n)  # the first word of each sentence, and the end
-    here = np.arange(len(word))
+    first[:1] = True
+    first[1:] = stop[:-1] | (newlines[start[1:]] > newlines[last[:-1]]) | (owner[1:] != owner[:-1])
+    return np.flatnonzero(first)
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
+    """Words and sentences of all texts of a slice, and the spans in order of text and place: text, first word, the word after the
+    last, and hash."""
+    w = words(data, offsets)
+    n = len(w["start"])
+    if not n:
+        none = np.zeros(0, np.int64)
+        return w | {"sentence": none, "of": none, "a": none, "b": none, "span": np.zeros(0, U64)}
+    sentence = sentence_starts(data, w)
+    of = w["owner"][sentence]
+    bounds = np.searchsorted(sentence, w["before"])
+    edge = np.append(sentence, n)  # the first word of each sentence, and the end
+    halves = w["halves"][edge]
+    here = np.arange(len(sentence))
     # Forward, a span ends before the first sentence, two on at least, that starts min_words words later; backward, it
     # starts at the last sentence, two back at least, from which there are min_words words.
-    after = np.maximum(np.searchsorted(edge, word + min_words), here + MIN_SENTENCES)
+    after = np.maximum(np.searchsorted(halves, halves[:-1] + 2 * min_words), here + MIN_SENTENCES)
     fits = (after < len(edge)) & (after <= bounds[of + 1])
-    first_back = np.minimum(np.searchsorted(word, edge[1:] - min_words, "right") - 1, here + 1 - MIN_SENTENCES)
+    first_back = np.minimum(np.searchsorted(halves[:-1], halves[1:] - 2 * min_words, "right") - 1, here + 1 - MIN_SENTENCES)
     fits_back = first_back >= bounds[of]
-    first_at = np.concatenate([here[fits], first_back[fits_back]])
-    after_at = np.concatenate([after[fits], here[fits_back] + 1])
-    # Its hash is a polynomial's difference of running sums, scaled to start at one power.
+    a = edge[np.concatenate([here[fits], first_back[fits_back]])]
+    b = edge[np.concatenate([after[fits], here[fits_back] + 1])]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    # A span's hash is a polynomial's difference of running sums, scaled to start at one power.
     base = U64(0xC2B2AE3D27D4EB4F)
     inverse = U64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
     power = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, base)]))
     back = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n - 1, inverse)]))
-    run = np.concatenate([[U64(0)], np.cumsum(words * power, dtype=U64)])
-    a, b = edge[first_at], edge[after_at]
-    hashes = mix((run[b] - run[a]) * back[a] + (b - a).astype(U64) * _STEPS[0])
-    return {"start": starts[word], "bounds": bounds, "owner": of[first_at], "first": first_at, "after": after_at, "hash": hashes}
+    run = np.concatenate([[U64(0)], np.cumsum(w["hash"] * power, dtype=U64)])
+    span = mix((run[b] - run[a]) * back[a] + (b - a).astype(U64) * _STEPS[0])
+    return w | {"sentence": sentence, "of": w["owner"][a], "a": a, "b": b, "span": span}
 
 
-def _span_hashes(min_words: int):
+def _send_spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in text_slices(batch.column(1)):
-                s = _sentences(data, offsets, min_words)
-                owner, hashes = s["owner"] + row, s["hash"]
-                order = np.lexsort((hashes, owner))
-                owner, hashes = owner[order], hashes[order]
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
+            for row, _, data, offsets in text_slices(batch.column("text")):
+                s = _spans(data, offsets, min_words)
+                owner, span = s["of"] + row, s["span"]
+                order = np.lexsort((span, owner))
+                owner, span = owner[order], span[order]
                 new = np.ones(len(order), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-                yield pa.RecordBatch.from_pydict({"span": pa.array(hashes[new].view(np.int64)), "id": pa.array(ids[owner[new]])})
+                new[1:] = (owner[1:] != owner[:-1]) | (span[1:] != span[:-1])
+                yield pa.RecordBatch.from_pydict({"span": pa.array(span[new].view(np.int64)), "id": pa.array(ids[owner[new]]), "mark": pa.array(marks[owner[new]])})
 
     return run
 
 
+def _around(s: dict, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of each of the words before and after a run of words, outwards, within its text."""
+    text = s["owner"][a]
+    low, high = s["before"][text], s["before"][text + 1]
+    front = s["hash"][max(low, a - GAP) : a][::-1]
+    return front.astype(np.uint32), s["hash"][b : min(high, b + GAP)].astype(np.uint32)
+
+
+def _send_contexts(min_words: int):
+    """(span, before, after): the words around the first occurrence of each of a document's spans that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("spans")
+            for row, end, data, offsets in text_slices(batch.column("text")):
+                s = _spans(data, offsets, min_words)
+                parts = np.searchsorted(s["of"], np.arange(end - row + 1))
+                span, before, after = [], [], []
+                for i in range(end - row):
+                    wanted = asked[row + i].values.to_numpy().view(U64)
+                    seen, first = np.unique(s["span"][parts[i] : parts[i + 1]], return_index=True)
+                    for k in np.flatnonzero(np.isin(seen, wanted)).tolist():
+                        at = parts[i] + first[k]
+                        front, back = _around(s, s["a"][at], s["b"][at])
+                        span.append(int(seen[k].view(np.int64)))
+                        before.append(front.tobytes())
+                        after.append(back.tobytes())
+                yield pa.RecordBatch.from_pydict({"span": pa.array(span, pa.int64()), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
+
+    return run
+
+
+def _grown(s: dict, a: int, b: int, front: np.ndarray, back: np.ndarray) -> tuple[int, int]:
+    """The run of words from a to b and what is alike around it."""
+    own_front, own_back = _around(s, a, b)
+    for own, other, way in ((own_front, front, -1), (own_back, back, 1)):
+        n = min(len(own), len(other))
+        differ = np.flatnonzero(own[:n] != other[:n])
+        n = int(differ[0]) if len(differ) else n
+        a, b = (a - n, b) if way < 0 else (a, b + n)
+    return a, b
+
+
+def _covered(s: dict, i: int, parts: np.ndarray, lists: pa.Scalar | None) -> np.ndarray:
+    """Whether each word of a text is in a repeat."""
+    low, high = int(s["before"][i]), int(s["before"][i + 1])
+    cover = np.zeros(high - low + 1, np.int64)
+    at = np.arange(parts[i], parts[i + 1])
+    spans = s["span"][at]
+    seen, earliest, which = np.unique(spans, return_index=True, return_inverse=True)
+    known = {}
+    if lists is not None:
+        known = {x["span"] & (2**64 - 1): (x["before"], x["after"]) for x in lists.as_py()}
+    elsewhere = np.isin(spans, np.fromiter(known, U64, len(known)))
+    again = s["a"][at] > s["a"][at][earliest][which] if len(at) else np.zeros(0, bool)
+    for k in np.flatnonzero(elsewhere | again).tolist():
+        a, b = int(s["a"][at[k]]), int(s["b"][at[k]])
+        if elsewhere[k]:
+            front, back = (np.frombuffer(x, np.uint32) for x in known[int(spans[k])])
+        else:
+            first = at[earliest[which[k]]]
+            front, back = _around(s, int(s["a"][first]), int(s["b"][first]))
+            back = back[: max(0, a - int(s["b"][first]))]  # not into itself
+        a, b = _grown(s, a, b, front, back)
+        cover[a - low] += 1
+        cover[b - low] -= 1
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _clean(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,57 +239,58 @@ def _clean(min_words: int):
             known = texts.is_valid().to_numpy(zero_copy_only=False)
             taken = batch.column("spans")
             for row, end, data, offsets in text_slices(texts):
-                s = _sentences(data, offsets, min_words)
-                order = np.lexsort((s["first"], s["owner"]))
-                owner, firsts, afters, all_hashes = (s[k][order] for k in ("owner", "first", "after", "hash"))
-                parts = np.searchsorted(owner, np.arange(end - row + 1))
-                count, spans, out = [], [], []
+                s = _spans(data, offsets, min_words)
+                parts = np.searchsorted(s["of"], np.arange(end - row + 1))
+                sentences = np.searchsorted(s["sentence"], s["before"])
                 raw = data.tobytes()
+                sizes, removed, out = [], [], []
                 for i in range(end - row):
-                    a, b = int(s["bounds"][i]), int(s["bounds"][i + 1])
-                    own = slice(parts[i], parts[i + 1])
-                    hashes, first, after = all_hashes[own], firsts[own] - a, afters[own] - a
-                    seen, earliest, which = np.unique(hashes, return_index=True, return_inverse=True)
-                    repeat = first > first[earliest][which] if len(seen) else np.zeros(0, bool)
-                    gone = taken[row + i].values if taken[row + i].is_valid else None
-                    if gone is not None and len(gone):
-                        repeat |= np.isin(hashes, gone.to_numpy().view(U64))
-                    cover = np.zeros(b - a + 1, np.int64)
-                    np.add.at(cover, first[repeat], 1)
-                    np.add.at(cover, after[repeat], -1)
-                    covered = np.cumsum(cover[:-1]) > 0
-                    lo, hi = int(offsets[i]), int(offsets[i + 1])
-                    edges = np.append(s["start"][a:b], hi)
+                    covered = _covered(s, i, parts, taken[row + i] if taken[row + i].is_valid else None)
+                    low, hi = int(s["before"][i]), int(offsets[i + 1])
+                    own = s["sentence"][sentences[i] : sentences[i + 1]] - low
+                    gone = int(np.logical_or.reduceat(covered, own).sum()) if len(own) else 0
                     change = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-                    cuts = [(int(edges[x]), int(edges[y])) for x, y in zip(change[::2], change[1::2], strict=True)]
-                    kept, at = [], lo
-                    for x, y in cuts:
-                        kept.append(raw[at:x])
-                        at = y
+                    edges = np.append(s["start"][low : low + len(covered)], hi)
+                    at, kept, cuts, chars = int(offsets[i]), [], [], 0
+                    for x, y in zip(change[::2], change[1::2], strict=True):
+                        kept.append(raw[at : edges[x]])
+                        a = chars + len(kept[-1].decode())
+                        chars = a + len(raw[edges[x] : edges[y]].decode())
+                        cuts.append((a, chars))
+                        at = int(edges[y])
                     kept.append(raw[at:hi])
-                    count.append((b - a, int(covered.sum())))
-                    spans.append([(len(raw[lo:x].decode()), len(raw[lo:y].decode())) for x, y in cuts])
+                    sizes.append((len(own), gone, int(covered.sum())))
+                    removed.append(cuts)
                     out.append(b"".join(kept).decode() if known[row + i] else None)
-                flat = [x for s_ in spans for x in s_]
+                flat = [x for cuts in removed for x in cuts]
                 items = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)], ["start", "end"])
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spans])]), pa.int32())
-                fields = {"doc_id": batch.column("doc_id")[row:end], "n_sentences": pa.array([x[0] for x in count], pa.int64()), "n_removed": pa.array([x[1] for x in count], pa.int64()), "removed": pa.ListArray.from_arrays(ends, items), "text": pa.array(out, pa.string())}
-                if "row" in batch.schema.names:
-                    fields["row"] = batch.column("row")[row:end]
-                yield pa.RecordBatch.from_pydict(fields)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in removed])]), pa.int32())
+                counts = {name: pa.array([x[k] for x in sizes], pa.int64()) for k, name in enumerate(("n_sentences", "n_removed", "n_words_removed"))}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[row:end]} | counts | {"removed": pa.ListArray.from_arrays(ends, items), "text": pa.array(out, pa.string())})
 
     return run
 
 
 def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, removed, text) for each row: ``removed`` lists the code points taken out
-    (start, end of the old text) and ``text`` is what stays."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = texts.mapInArrow(_span_hashes(min_words), "span long, id long")
-    # Some documents' spans occur once only; packed per hash, what goes on is what several documents hold.
-    first = spans.groupBy("span").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("span", "first")
-    first = materialize(first)
-    later = spans.join(first, "span").where("id > first").groupBy("id").agg(F.collect_list("span").alias("spans"))
-    later = materialize(later)
-    both = texts.join(later, F.coalesce("doc_id", F.lit(_LAST)) == F.col("id"), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_clean(min_words), "doc_id long, n_sentences long, n_removed long, removed array<struct<start int, end int>>, text string")
+    """(doc_id, n_sentences, n_removed, n_words_removed, removed, text) for each row: ``n_removed`` sentences are touched by
+    repeats, ``removed`` lists the code points taken out (start, end of the old text) and ``text`` is what stays."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("mark"))
+    spans = texts.select("id", "mark", "text").mapInArrow(_send_spans(min_words), "span long, id long, mark long")
+    # Most spans occur in one document; what goes on is what several documents hold.
+    holder = F.struct("id", "mark")
+    first = spans.groupBy("span").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last")
+    first = materialize(first.select("span", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")))
+
+    def with_lists(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        return rows.join(of.withColumnsRenamed({"id": "of_id", "mark": "of_mark"}), (F.col("id") == F.col("of_id")) & (F.col("mark") == F.col("of_mark")), how)
+
+    asked = first.groupBy(F.col("first_id").alias("id"), F.col("first_mark").alias("mark")).agg(F.collect_list("span").alias("spans"))
+    holders = with_lists(texts.select("id", "mark", "text"), materialize(asked), "inner").select("text", "spans")
+    contexts = holders.mapInArrow(_send_contexts(min_words), "span long, before binary, after binary")
+    contexts = materialize(contexts.groupBy("span").agg(F.first("before").alias("before"), F.first("after").alias("after")))
+    first = materialize(first.join(contexts, "span"))
+    later = spans.join(first, "span").where((F.col("id") != F.col("first_id")) | (F.col("mark") != F.col("first_mark")))
+    later = materialize(later.groupBy("id", "mark").agg(F.collect_list(F.struct("span", "before", "after")).alias("spans")))
+    both = with_lists(texts, later, "left").select("doc_id", "text", "spans")
+    return both.mapInArrow(_clean(min_words), "doc_id long, n_sentences long, n_removed long, n_words_removed long, removed array<struct<start int, end int>>, text string")
