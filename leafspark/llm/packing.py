@@ -3,7 +3,7 @@
 A document is its tokens and an end token. One longer than ``width`` is cut into pieces of ``width`` tokens, of which
 the first may be shorter. Pieces of full width are sequences by themselves. The others are pooled, packed by best fit
 in order of falling length, and then exchanged between underfull sequences: a piece moves, or is swapped for a smaller
-one, or two are swapped for one, whenever that raises the sum of squared fills. As fuller sequences get fuller the
+one, or any two of a sequence are swapped for one, whenever that raises the sum of squared fills. As fuller sequences get fuller the
 emptiest run out of pieces, and sequences that have none left vanish.
 
 Pieces are written once with a key each. Those below full width are counted by length, ordered by length over the
@@ -13,11 +13,12 @@ bounded by the pool. The places are then joined to the ids. Each pool leaves at
 pieces together would need.
 
 Tokens: texts are cut by the vocabulary's own pattern into pretokens with array operations, and each different
-pretoken is tokenised once per task. Texts with characters above U+2FFF or with the vocabulary's special strings go
-through the ``tokenizers`` library as they are.
+pretoken is tokenised once per task. Texts with characters above U+2FFF or unknown to this Python, or with the
+vocabulary's special strings, go through the ``tokenizers`` library as they are.
 
 Defined results: a null or empty text is the end token alone; repeated rows are pieces of their own; an empty table
-gives no rows; other columns are ignored, whatever their names.
+gives no rows; other columns are ignored, whatever their names. A text is held whole, with some 20 bytes for each of its
+characters.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ _LETTER, _NUMBER, _OTHER, _SPACE, _EDGE = range(5)
 def _classes() -> np.ndarray:
     out = np.full(_PLAIN + 1, _OTHER, np.uint8)
     for cp in range(_PLAIN):
-        kind = unicodedata.category(chr(cp))[0]
-        out[cp] = _LETTER if kind == "L" else _NUMBER if kind == "N" else _OTHER
+        kind = unicodedata.category(chr(cp))
+        # What this Python has no character for, the tokenizer's library may: such texts are its own.
+        out[cp] = _EDGE if kind == "Cn" else _LETTER if kind[0] == "L" else _NUMBER if kind[0] == "N" else _OTHER
     out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]] = _SPACE
     out[_PLAIN] = _EDGE
     return out
@@ -93,6 +95,10 @@ def pretoken_starts(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), _PLAIN)
+
+
 class Tokens:
     """Token ids of texts, by one vocabulary file."""
 
@@ -211,16 +217,16 @@ class Tokens:
             self._clear()
         edge = chr(_PLAIN)
         joined = edge + edge.join(texts[i] for i in batch) + edge
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if np.count_nonzero(cp >= _PLAIN) != len(batch) + 1:
+        cp = _code_points(joined)
+        kind = _CLASS[cp]
+        if np.count_nonzero(kind == _EDGE) != len(batch) + 1:
             for i in batch:
-                if texts[i] and max(texts[i]) >= edge:
+                if (_CLASS[_code_points(texts[i])] == _EDGE).any():
                     out[i] = self._as_is(texts[i])
             batch = [i for i in batch if out[i] is None]
             if batch:
                 self._plain(texts, batch, out)
             return
-        kind = _CLASS[cp]
         starts = pretoken_starts(cp, kind)
         hashes = segment_hashes(_CHAR_HASH[cp], starts, len(cp))
         number = self._find(hashes)
@@ -308,9 +314,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, width: int, passes:
                     fill[poor] -= int(gain[k])
                     fill[to] += int(gain[k])
                     changed = True
-            if len(bins[poor]) > 1:  # two for one
-                pair = sorted(bins[poor], key=lambda i: lengths[i])[:2]
-                total = int(lengths[pair].sum())
+            pairs = {int(lengths[[a, b]].sum()): [a, b] for a, b in itertools.combinations(bins[poor], 2)}
+            for total, pair in sorted(pairs.items()):  # two for one, each sum of two lengths once
                 gain = total - size
                 ok = np.flatnonzero((gain > 0) & (gain <= width - fill[where]) & (where != poor) & (fill[where] + gain > fill[poor]))
                 if len(ok):
@@ -326,6 +331,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, width: int, passes:
                     fill[poor] -= int(gain[k])
                     fill[to] += int(gain[k])
                     changed = True
+                    break
         if not changed:
             break
     return [b for b in bins if b]

@@ -79,3 +79,10 @@ def test_lengths_that_are_stored_apart_are_packed_together(spark, monkeypatch):
 def test_nothing_and_empty(spark, empty):
     assert P.pack_documents(empty, tokenizer_path()).count() == 0
     assert P.pack(np.array([1024, 1024, 1])) == [[0], [1], [2]]
+
+
+def test_every_character_is_classed_as_the_library_does():
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} {chr(c)}'s" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    want = [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    got = P.Tokens(tokenizer_path()).encode(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a.tolist() != b] == []
