@@ -1,4 +1,4 @@
-"""One query for each operator of this subpackage, over its whole table, and its SQL where SQL can express it."""
+"""One query for each operator of this subpackage, over its whole table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embed_dedup, langid, mixing, packing, secrets_scan, sharding, substring_dedup, superminhash, weak_quality
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weak_quality.score_quality(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,59 +84,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9,
         "op10_chat_format": op10,
     }
-
-
-_MIXING_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS text_md5,
-         row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) - 1 AS nth FROM documents
-), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
-), ranked AS (
-  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank,
-         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
-  FROM sources
-), levels AS (
-  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-            / (sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
-         , row_number() OVER (ORDER BY source_size / weight, rank) AS place
-  FROM ranked
-), water AS (
-  SELECT arg_min(level, place) FILTER (WHERE level * weight <= 3 * source_size) AS level FROM levels
-), targets AS (
-  SELECT source, source_size, least((3 * source_size)::DOUBLE, water.level * weight) AS target FROM levels, water
-), rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5 || ':' || nth), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
-)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM rated
-"""
-
-_CHAT_SQL = r"""
-WITH said AS (
-  SELECT conv_id, turn, role, text FROM conversations
-  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
-), clean AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said
-), parts AS (
-  SELECT *, length('<turn >') + length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g'))
-            + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '>', '\g')) + length('</turn>') + 1 AS chars,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-         count(*) OVER (PARTITION BY conv_id) AS n
-  FROM clean
-), sums AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS so_far FROM parts
-)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(so_far) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
-FROM sums GROUP BY conv_id
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    """The other operators can't be expressed in SQL that runs on whole tables; tests hold them against brute force."""
-    return {"op4_source_mixing": _MIXING_SQL, "op10_chat_format": _CHAT_SQL}

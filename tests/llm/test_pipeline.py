@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from leafspark.llm import packing, secrets_scan, weak_quality
-from leafspark.llm.queries import tokenizer_path
+from leafspark.llm.queries import oracle_sql, tokenizer_path
 from tests.llm.test_native import WORD, brute_quality, brute_targets, plain_em, plain_posterior
 from tests.llm.test_superminhash import brute
 
@@ -97,16 +98,16 @@ def test_every_operator_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-def test_sql_of_the_operators(spark):
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql_of_the_operators(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    for name in ("op4_source_mixing", "op10_chat_format"):
-        want = con.execute(__spark_entry__.oracle_sql()[name])
-        names = [d[0] for d in want.description]
-        got = __spark_entry__.queries()[name](spark, SF)
-        assert sorted(names) == sorted(got.columns)
-        shown = lambda row: tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in row)
-        assert sorted(map(shown, got.select(*names).collect())) == sorted(map(shown, want.fetchall())), name
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = __spark_entry__.queries()[name](spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    shown = lambda row: tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in row)
+    assert sorted(map(shown, got.select(*names).collect())) == sorted(map(shown, want.fetchall()))
