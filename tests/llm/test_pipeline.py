@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -16,6 +18,8 @@ from tests.llm.test_native import WORD, brute_quality, brute_targets, plain_em,
 from tests.llm.test_superminhash import brute
 
 SF = "/root/testdata/sf0.001"
+_documents = pq.read_table(f"{SF}/documents.parquet").to_pandas().itertuples()
+_documents = list(_documents)
 
 
 def rule_votes(text):
@@ -60,7 +64,7 @@ def test_run_equals_plain_python(spark):
     want = Counter()
     for d, t, s in redacted:
         rate = target[s] / sizes[s] if sizes[s] else 0.0
-        draw = int(hashlib.md5(f"0:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        draw = int(hashlib.md5(f"0:{d}:{hashlib.md5(t.encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) / 2**52
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
         for _ in range(math.floor(rate) + (draw < rate - math.floor(rate))):
@@ -73,13 +77,42 @@ def test_run_equals_plain_python(spark):
     assert max(fill.values()) <= 1024
 
 
-def test_stages_keep_the_columns_and_survive_odd_rows(spark, odd, empty):
-    for frame in (odd.drop("size", "row"), empty.drop("size", "row")):
-        docs = frame
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, SF)
-            assert docs.columns == frame.columns
-        corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+NAMES = ["size", "row", "live", "key", "component", "kept", "votes", "copies", "target", "__row", "nth", "words", "__id"]
+SECRET = "Zk39fQpL2vXw81Tb"
+
+
+def long_odd_rows():
+    """Texts that pass the quality rules, under null, shared and repeated ids, exact and near copies, secrets, and odd ones."""
+    clean = [r.text for r in _documents if r.text and 80 < len(r.text.split()) < 200 and brute_quality(r.text)[2] == 0 and brute_quality(r.text)[4] == 0][:9]
+    near = clean[1].rsplit(" ", 1)[0] + " indeed."
+    texts = [(None, clean[0], "a"), (1, clean[1], "a"), (2, near, "b"), (2, clean[2], "b"), (2, clean[2], "b"), (3, clean[3] + f' password = "{SECRET}" end', None), (3, clean[4], "a"), (None, clean[5], None), (None, clean[5], None), (None, clean[6], "c"), (4, None, "a"), (5, "", "a"), (6, " \n ", None), (7, "word " * 30_000, "a"), (8, (" ".join(clean[7:9]) + "\n") * 1, "\U0001f600")]
+    return [(d, t, "en", s, None if d == 3 else len(t or ""), *NAMES) for d, t, s in texts], clean, near
+
+
+def test_odd_rows_reach_every_stage(spark, odd, empty):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    rows, clean, near = long_odd_rows()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(n).alias(n) for n in NAMES))
+    docs = docs.where(~F.col("text").isin(clean)).withColumn("doc_id", F.col("doc_id") + 10_000).unionByName(spark.createDataFrame(rows, schema))
+    columns, of = docs.columns, lambda d: Counter((r.doc_id, r.text) for r in d.collect() if (r.doc_id or 0) < 10_000)
+    found = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns and all(tuple(r[5:]) == tuple(NAMES) for r in docs.collect())
+        found.append(of(docs))
+    passed, different, without, mixed = found
+    want = Counter((d, t) for d, t, *_ in rows if t and 80 < len(t.split()) < 1000)
+    assert passed == want
+    gone = Counter({(2, near): 1, (2, clean[2]): 1, (None, clean[5]): 1})
+    assert different == want - gone
+    assert without == Counter({(d, t.replace(SECRET, "[SECRET]")): n for (d, t), n in different.items()})
+    assert mixed and set(mixed) <= set(without)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in packed) == docs.count()
+    for frame in (empty, odd):
+        for _, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, SF)
+        assert frame.count() == 0
 
 
 def test_the_packed_corpus_comes_from_the_result_alone(spark, odd):
