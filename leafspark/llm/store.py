@@ -7,6 +7,7 @@ its plan twice. The folder is ``spark.checkpoint.dir``; only a local session wit
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark find the shuffle files that nothing does: it removes
+    those of collected plans only, and a driver with little to do collects seldom."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

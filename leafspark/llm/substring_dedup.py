@@ -2,23 +2,23 @@
 
 A text is cut into sentences: after a word that ends in a sentence mark (of several scripts) or a closing quote or bracket
 behind one, before a word that starts a new line, and into clauses by winnowing: in every run of ``GAP`` words a cut comes
-after the one with the least hash, so no clause is longer and passages without punctuation, or pasted into the middle of a
+after those with the least hash, so no clause is longer and passages without punctuation, or pasted into the middle of a
 sentence, align too. All three depend on words near the cut only, so a passage is cut alike wherever it stands, but for
 its first and last few words. Scripts without spaces count each character as half a word.
 
 From each sentence a span runs over several consecutive sentences: two at least, and on to ``min_words`` words; and one runs
 back from each sentence's end in the same way. Every span is hashed over its words (case kept, whitespace not). The least
-document of each hash is found over the whole corpus, by doc_id and then by a hash of the text; a span is a repeat if a
-lesser document holds it or it stood earlier in its own text. A repeated span grows word by word to both sides, up to
-``GAP`` words, as long as the words are those around the span's first occurrence: so a passage goes to its ends and not only to
+document of each hash is found over the whole corpus, by doc_id; a span is a repeat if a lesser document holds it or it
+stood earlier in its own text. A repeated span at an end of such a run grows outwards word by word, up
+to ``GAP`` words, as long as the words are those around the span's first occurrence: so a passage goes to its ends and not only to
 the cuts nearest to them. Sentences and words that repeats cover are removed; the first occurrence stays.
 
 A document sends each hash once, minima are taken before the shuffle, and only hashes of several documents are joined
 back, one row each, so a passage that a third of all documents share can be split over tasks. The words around a span are
 sent by its first holder only, and for spans that others hold.
 
-Defined results: a document is a doc_id and a text; null ids come last; rows equal in both are one document and share
-their result; rows that share an id only are documents of their own; a null text stays null; a text that is all repeats
+Defined results: a document is a doc_id and a text; rows equal in both are one document and share their result; texts
+that have no id, or share one, are documents of their own and come last, in order of a hash; a null text stays null; a text that is all repeats
 becomes empty; other text is returned as it was, whitespace included; an empty table gives no rows; other columns are
 ignored. A text is held whole, with some 40 bytes for each of its bytes.
 """
@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .npbytes import _BYTES, _STEPS, U64, WHITESPACE, mix, segment_hashes, text_slices
-from .store import materialize
+from .store import materialize, release
 
 MIN_WORDS = 20
 MIN_SENTENCES = 2
@@ -82,17 +81,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"start": start, "end": end, "owner": owner, "halves": halves, "hash": segment_hashes(values, start, len(data)), "before": before}
 
 
+def _over_runs(values: np.ndarray, gap: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (a minimum or maximum) over each run of ``gap`` values, by doubling."""
+    size = 1
+    while size < gap:
+        step = min(size, gap - size)
+        values = of(values[: len(values) - step], values[step:])
+        size += step
+    return values
+
+
 def _ends_clause(hashes: np.ndarray, owner: np.ndarray, gap: int) -> np.ndarray:
-    """Whether a word has the least hash of some run of ``gap`` words of its text; of equal ones the first."""
-    out = np.zeros(len(hashes), bool)
-    if len(hashes) >= gap:
-        inside = owner[: len(hashes) - gap + 1] == owner[gap - 1 :]
-        least = np.empty(len(inside), np.int64)
-        for at in range(0, len(inside), 1 << 16):
-            runs = sliding_window_view(hashes[at : at + (1 << 16) + gap - 1], gap)
-            least[at : at + (1 << 16)] = runs.argmin(axis=1) + np.arange(at, at + len(runs))
-        out[least[inside]] = True
-    return out
+    """Whether a word has the least hash of some run of ``gap`` words of its text."""
+    if len(hashes) < gap:
+        return np.zeros(len(hashes), bool)
+    least = _over_runs(hashes, gap, np.minimum)
+    least[owner[: len(least)] != owner[gap - 1 :]] = 0  # runs over a text's end don't count
+    around = np.zeros(gap - 1, U64)
+    return _over_runs(np.concatenate([around, least, around]), gap, np.maximum) == hashes
 
 
 def sentence_starts(data: np.ndarray, w: dict[str, np.ndarray], gap: int = GAP) -> np.ndarray:
@@ -100,11 +106,13 @@ def sentence_starts(data: np.ndarray, w: dict[str, np.ndarray], gap: int = GAP)
     start, end, owner, n = w["start"], w["end"], w["owner"], len(w["start"])
     last = end - 1
     stop = _STOP[data[last]] | (_CLOSER[data[last]] & (last > start) & _STOP[data[np.maximum(last - 1, 0)]])
+    other = np.flatnonzero(data[last] >= 0x80)
     for mark in _MARKS:
-        same = last - start >= len(mark) - 1
+        tail = last[other]
+        same = tail - start[other] >= len(mark) - 1
         for k, byte in enumerate(reversed(mark)):
-            same &= data[np.maximum(last - k, 0)] == byte
-        stop |= same
+            same &= data[np.maximum(tail - k, 0)] == byte
+        stop[other] |= same
     stop |= _ends_clause(w["hash"], owner, gap)
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     first = np.empty(n, bool)
@@ -150,7 +158,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict:
 def _send_spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
+            keys = batch.column("key").to_numpy()
             for row, _, data, offsets in text_slices(batch.column("text")):
                 s = _spans(data, offsets, min_words)
                 owner, span = s["of"] + row, s["span"]
@@ -158,17 +166,17 @@ def _send_spans(min_words: int):
                 owner, span = owner[order], span[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (span[1:] != span[:-1])
-                yield pa.RecordBatch.from_pydict({"span": pa.array(span[new].view(np.int64)), "id": pa.array(ids[owner[new]]), "mark": pa.array(marks[owner[new]])})
+                yield pa.RecordBatch.from_pydict({"span": pa.array(span[new].view(np.int64)), "key": pa.array(keys[owner[new]])})
 
     return run
 
 
 def _around(s: dict, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """32 bits of each of the words before and after a run of words, outwards, within its text."""
+    """16 bits of each of the words before and after a run of words, outwards, within its text."""
     text = s["owner"][a]
     low, high = s["before"][text], s["before"][text + 1]
     front = s["hash"][max(low, a - GAP) : a][::-1]
-    return front.astype(np.uint32), s["hash"][b : min(high, b + GAP)].astype(np.uint32)
+    return front.astype(np.uint16), s["hash"][b : min(high, b + GAP)].astype(np.uint16)
 
 
 def _send_contexts(min_words: int):
@@ -195,41 +203,50 @@ def _send_contexts(min_words: int):
     return run
 
 
-def _grown(s: dict, a: int, b: int, front: np.ndarray, back: np.ndarray) -> tuple[int, int]:
-    """The run of words from a to b and what is alike around it."""
-    own_front, own_back = _around(s, a, b)
-    for own, other, way in ((own_front, front, -1), (own_back, back, 1)):
-        n = min(len(own), len(other))
-        differ = np.flatnonzero(own[:n] != other[:n])
-        n = int(differ[0]) if len(differ) else n
-        a, b = (a - n, b) if way < 0 else (a, b + n)
-    return a, b
+def _alike(own: np.ndarray, other: np.ndarray) -> int:
+    """How many words two runs of words share at their beginnings."""
+    n = min(len(own), len(other))
+    differ = np.flatnonzero(own[:n] != other[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def _covered(s: dict, i: int, parts: np.ndarray, lists: pa.Scalar | None) -> np.ndarray:
-    """Whether each word of a text is in a repeat."""
+    """Whether each word of a text is in a repeat. Spans at the ends of a run of repeats grow outwards."""
     low, high = int(s["before"][i]), int(s["before"][i + 1])
-    cover = np.zeros(high - low + 1, np.int64)
-    at = np.arange(parts[i], parts[i + 1])
-    spans = s["span"][at]
+    at = slice(parts[i], parts[i + 1])
+    spans, starts, ends = s["span"][at], s["a"][at], s["b"][at]
     seen, earliest, which = np.unique(spans, return_index=True, return_inverse=True)
     known = {}
     if lists is not None:
         known = {x["span"] & (2**64 - 1): (x["before"], x["after"]) for x in lists.as_py()}
     elsewhere = np.isin(spans, np.fromiter(known, U64, len(known)))
-    again = s["a"][at] > s["a"][at][earliest][which] if len(at) else np.zeros(0, bool)
-    for k in np.flatnonzero(elsewhere | again).tolist():
-        a, b = int(s["a"][at[k]]), int(s["b"][at[k]])
-        if elsewhere[k]:
-            front, back = (np.frombuffer(x, np.uint32) for x in known[int(spans[k])])
+    repeat = elsewhere | (starts > starts[earliest][which])
+    if not repeat.any():
+        return np.zeros(high - low, bool)
+
+    def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        cover = np.zeros(high - low + 1, np.int64)
+        np.add.at(cover, a - low, 1)
+        np.add.at(cover, b - low, -1)
+        return np.cumsum(cover[:-1]) > 0
+
+    covered = spread(starts[repeat], ends[repeat])
+    edged = np.concatenate([[False], covered, [False]])
+    outer = np.flatnonzero(repeat & (~edged[starts - low] | ~edged[ends - low + 1]))
+    new_starts, new_ends = starts[outer].copy(), ends[outer].copy()
+    for k, j in enumerate(outer.tolist()):
+        a, b, first = int(starts[j]), int(ends[j]), int(earliest[which[j]])
+        if elsewhere[j]:
+            front, back = (np.frombuffer(x, np.uint16) for x in known[int(spans[j])])
         else:
-            first = at[earliest[which[k]]]
-            front, back = _around(s, int(s["a"][first]), int(s["b"][first]))
-            back = back[: max(0, a - int(s["b"][first]))]  # not into itself
-        a, b = _grown(s, a, b, front, back)
-        cover[a - low] += 1
-        cover[b - low] -= 1
-    return np.cumsum(cover[:-1]) > 0
+            front, back = _around(s, int(starts[first]), int(ends[first]))
+            back = back[: max(0, a - int(ends[first]))]  # not into itself
+        own_front, own_back = _around(s, a, b)
+        if not edged[a - low]:
+            new_starts[k] -= _alike(own_front, front)
+        if not edged[b - low + 1]:
+            new_ends[k] += _alike(own_back, back)
+    return covered | spread(new_starts, new_ends)
 
 
 def _clean(min_words: int):
@@ -271,26 +288,38 @@ def _clean(min_words: int):
     return run
 
 
+def _keyed(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text) and the number by which documents are ordered: an id that stands for one text only is its own;
+    texts without an id, or that share one, have a hash of both from 2**62 on."""
+    mark = F.xxhash64("doc_id", "text")
+    apart = F.shiftrightunsigned(mark, 2).bitwiseOR(F.lit(1 << 62))
+    shared = texts.where("doc_id is not null").groupBy(F.col("doc_id").alias("several")).agg(F.min(mark).alias("a"), F.max(mark).alias("b"))
+    shared = materialize(shared.where("a < b").select("several"))
+    if shared.isEmpty():
+        return texts.withColumn("key", F.when(F.col("doc_id").isNull(), apart).otherwise(F.col("doc_id")))
+    both = texts.join(shared, F.col("doc_id") == F.col("several"), "left")
+    return both.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("several").isNotNull(), apart).otherwise(F.col("doc_id"))).drop("several")
+
+
 def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, n_words_removed, removed, text) for each row: ``n_removed`` sentences are touched by
     repeats, ``removed`` lists the code points taken out (start, end of the old text) and ``text`` is what stays."""
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("mark"))
-    spans = texts.select("id", "mark", "text").mapInArrow(_send_spans(min_words), "span long, id long, mark long")
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _keyed(texts)
+    spans = texts.select("key", "text").mapInArrow(_send_spans(min_words), "span long, key long")
     # Most spans occur in one document; what goes on is what several documents hold.
-    holder = F.struct("id", "mark")
-    first = spans.groupBy("span").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last")
-    first = materialize(first.select("span", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")))
-
-    def with_lists(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
-        return rows.join(of.withColumnsRenamed({"id": "of_id", "mark": "of_mark"}), (F.col("id") == F.col("of_id")) & (F.col("mark") == F.col("of_mark")), how)
-
-    asked = first.groupBy(F.col("first_id").alias("id"), F.col("first_mark").alias("mark")).agg(F.collect_list("span").alias("spans"))
-    holders = with_lists(texts.select("id", "mark", "text"), materialize(asked), "inner").select("text", "spans")
+    first = spans.groupBy("span").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    first = materialize(first.select("span", "first"))
+    asked = materialize(first.groupBy(F.col("first").alias("holder")).agg(F.collect_list("span").alias("spans")))
+    release(spark)
+    holders = texts.join(asked, F.col("key") == F.col("holder")).select("text", "spans")
     contexts = holders.mapInArrow(_send_contexts(min_words), "span long, before binary, after binary")
-    contexts = materialize(contexts.groupBy("span").agg(F.first("before").alias("before"), F.first("after").alias("after")))
-    first = materialize(first.join(contexts, "span"))
-    later = spans.join(first, "span").where((F.col("id") != F.col("first_id")) | (F.col("mark") != F.col("first_mark")))
-    later = materialize(later.groupBy("id", "mark").agg(F.collect_list(F.struct("span", "before", "after")).alias("spans")))
-    both = with_lists(texts, later, "left").select("doc_id", "text", "spans")
+    contexts = contexts.groupBy("span").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    contexts = materialize(first.join(contexts, "span"))
+    release(spark, asked, first)
+    later = spans.join(contexts, "span").where("key <> first").groupBy(F.col("key").alias("holder"))
+    later = materialize(later.agg(F.collect_list(F.struct("span", "before", "after")).alias("spans")))
+    release(spark, contexts)
+    both = texts.join(later, F.col("key") == F.col("holder"), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_clean(min_words), "doc_id long, n_sentences long, n_removed long, n_words_removed long, removed array<struct<start int, end int>>, text string")
