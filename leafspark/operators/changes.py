@@ -35,12 +35,22 @@ def cell_changes(before: DataFrame, after: DataFrame, key: list[str], most: int
 
 
 def nearest_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(key, id, src): for each wanted (key, id, quote, near[, floor]) the content row of that quote nearest to ``near``;
-    of two as near, the first. An equi-join on the quote; the best is a minimum, which is taken before the shuffle."""
+    """(key, id, src): for each wanted (key, id, quote, near[, floor]) the content row of that quote nearest to ``near``, not
+    before ``floor``; of two as near, the first. Rows and questions of a quote stand in one order of places, in which the
+    nearest are the last row up to a question and the first behind it: two running windows, and no pairs however often a
+    line repeats."""
     floor = F.col("floor") if "floor" in wanted.columns else F.lit(0)
-    asked = wanted.select(key, "id", "quote", "near", floor.alias("floor"))
-    found = rows.where(is_content(F.col("style"))).select(key, "quote", "src").join(asked, [key, "quote"]).where("src >= floor")
-    return found.groupBy(key, "id").agg(F.min_by("src", F.struct(F.abs(F.col("src") - F.col("near")), F.col("src"))).alias("src"))
+    here = F.greatest(F.col("near"), floor.cast(wanted.schema["near"].dataType))
+    none = F.lit(None)
+    asked = wanted.select(key, "quote", here.alias("at"), F.lit(1).alias("kind"), "id", "near", floor.alias("floor"), none.cast("int").alias("src"))
+    found = rows.where(is_content(F.col("style")))
+    found = found.select(key, "quote", F.col("src").alias("at"), F.lit(0).alias("kind"), none.cast(wanted.schema["id"].dataType).alias("id"), none.cast("int").alias("near"), none.cast("int").alias("floor"), F.col("src").cast("int").alias("src"))
+    up, down = (Window.partitionBy(key, "quote").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (["at", "kind"], [F.desc("at"), F.desc("kind")]))
+    last = F.last("src", ignorenulls=True)
+    both = found.unionByName(asked).withColumns({"before": last.over(up), "after": last.over(down)}).where("kind = 1")
+    before, after = F.when(F.col("before") >= F.col("floor"), F.col("before")), F.col("after")
+    nearer = F.when(before.isNull() | (F.abs(after - F.col("near")) < F.abs(before - F.col("near"))), F.coalesce(after, before)).otherwise(before)
+    return both.select(key, "id", nearer.alias("src")).where("src is not null")
 
 
 def reanchor_rows(rows: DataFrame, comments: DataFrame, key: str) -> DataFrame:

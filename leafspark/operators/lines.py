@@ -18,16 +18,17 @@ def text_lines(docs: DataFrame, key: str, text: str = "text", most: int | None =
     shown = F.when((size > 1) & (F.element_at("__lines", -1) == ""), size - 1).otherwise(size)
     shown = F.least(shown, F.lit(most)) if most else shown
     lines = lines.select(key, F.slice("__lines", F.lit(1), shown).alias("__lines"))
-    lines = lines.select(key, F.posexplode("__lines").alias("src", "line"))
+    # The array has an entry always. Of the outer form Spark infers no filter, which would repeat the clean-up in the scan.
+    lines = lines.select(key, F.posexplode_outer("__lines").alias("src", "line"))
     return lines.select(key, "src", T.cut(F.col("line"), schema.LINE_LIMIT).alias("text"), F.format_string("line %d", F.col("src") + 1).alias("anchor"))
 
 
 def row_cap_notes(docs: DataFrame, key: str, text: str = "text", most: int = schema.ROW_LIMIT) -> DataFrame:
     """The note of each text of more lines than are shown."""
-    n = F.size(F.split(T.strip_controls(F.coalesce(F.col(text), F.lit(""))), "\n"))
-    last = T.strip_controls(F.coalesce(F.col(text), F.lit(""))).endswith("\n")
-    n = F.when((n > 1) & last, n - 1).otherwise(n)
-    notes = docs.select(key, n.alias("n")).where(F.col("n") > most)
+    safe = T.strip_controls(F.coalesce(F.col(text), F.lit("")))
+    found = docs.select(key, F.split(safe, "\n").alias("__lines"))
+    n = F.when((F.size("__lines") > 1) & (F.element_at("__lines", -1) == ""), F.size("__lines") - 1).otherwise(F.size("__lines"))
+    notes = found.select(key, n.alias("n")).where(F.col("n") > most)
     return notes.select(key, F.format_string(f"Only the first {most:,} of %,d rows are shown.", "n").alias("message"))
 
 

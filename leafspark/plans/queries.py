@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas, numbers
 from ..functions import text as T
 from ..operators import cells, changes, lines, prompt
+from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, spread=name in ("documents", "pages"))
 
 
 # Pieces of SQL: text made safe, and the lines of every document.
@@ -149,9 +150,17 @@ def quote_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.quote_range(_lineitem_cells(spark, sf_dir), (0, 10**6), (2, 2), ["l_orderkey"])
 
 
-@query(f"WITH {_ONE} SELECT l_orderkey, false AS has_header FROM one GROUP BY 1")
+@query("SELECT n_regionkey, n_regionkey % 2 = 0 AS has_header FROM nation GROUP BY 1")
 def has_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.has_header(_lineitem_cells(spark, sf_dir), ["l_orderkey"])
+    """A sheet for each region: every other one has a header, the others a number in its place."""
+    nation, even = table(spark, sf_dir, "nation"), F.col("n_regionkey") % 2 == 0
+    one = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    name = F.struct(F.lit(0).alias("c"), F.col("n_name").alias("v"), F.lit(None).cast("double").alias("x"))
+    number = F.struct(F.lit(1).alias("c"), F.col("n_nationkey").cast("string").alias("v"), F.col("n_nationkey").cast("double").alias("x"))
+    body = nation.select("n_regionkey", F.row_number().over(one).alias("r"), F.explode(F.array(name, number)).alias("cell"))
+    titles = F.array(F.struct(F.lit(0).alias("c"), F.lit("Name").alias("v"), F.lit(None).cast("double").alias("x")), F.struct(F.lit(1).alias("c"), F.when(even, "Key").otherwise("7").alias("v"), F.when(~even, 7.0).alias("x")))
+    top = nation.select("n_regionkey").distinct().select("n_regionkey", F.lit(0).alias("r"), F.explode(titles).alias("cell"))
+    return cells.has_header(body.unionByName(top).select("n_regionkey", "r", "cell.*"), ["n_regionkey"])
 
 
 @query("""SELECT c, greatest(3, least(16, max(length(v)))) AS width FROM (
@@ -208,7 +217,15 @@ def nearest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.nearest_rows(after, asked, "doc_id")
 
 
-@query()
+@query(f"""WITH {_LINES}, {_EDIT}, asked AS (SELECT doc_id, src // 3 AS id, min(src) AS a, max(src) AS b, string_agg(text, chr(10) ORDER BY src) AS quote, count(*) AS n, arg_min(text, src) AS first, arg_max(text, src) AS last FROM lines GROUP BY 1, 2),
+head AS (SELECT q.doc_id, q.id, arg_min(e.src, abs(e.src - q.a) * 1000000 + e.src) AS head FROM asked q JOIN edited e ON e.doc_id = q.doc_id AND e.text = q.first GROUP BY 1, 2),
+tail AS (SELECT q.doc_id, q.id, arg_min(e.src, abs(e.src - head - (q.b - q.a)) * 1000000 + e.src) AS tail FROM asked q JOIN head USING (doc_id, id) JOIN edited e ON e.doc_id = q.doc_id AND e.text = q.last AND e.src > head WHERE n > 1 GROUP BY 1, 2),
+alone AS (SELECT q.doc_id, q.id, arg_min(e.src, abs(e.src - q.b) * 1000000 + e.src) AS alone FROM asked q LEFT JOIN head USING (doc_id, id) JOIN edited e ON e.doc_id = q.doc_id AND e.text = q.last WHERE n > 1 AND head IS NULL GROUP BY 1, 2),
+placed AS (SELECT q.*, CASE WHEN quote = '' THEN NULL ELSE coalesce(head, CASE WHEN alone IS NOT NULL THEN greatest(0, alone - (b - a)) END) END AS start, CASE WHEN head IS NULL THEN alone WHEN n > 1 AND tail - head <= (b - a) * 2 + 20 THEN tail ELSE head + b - a END AS stop
+FROM asked q LEFT JOIN head USING (doc_id, id) LEFT JOIN tail USING (doc_id, id) LEFT JOIN alone USING (doc_id, id)),
+ends AS (SELECT doc_id, max(src) AS last_row FROM edited GROUP BY 1),
+now AS (SELECT p.doc_id, p.id, string_agg(e.text, chr(10) ORDER BY e.src) AS now FROM placed p JOIN ends USING (doc_id) JOIN edited e ON e.doc_id = p.doc_id AND e.src BETWEEN p.start AND least(p.stop, last_row) GROUP BY 1, 2)
+SELECT doc_id, id, coalesce(start, a)::INT AS "from", coalesce(CASE WHEN start IS NOT NULL THEN least(stop, last_row) END, b)::INT AS "to", start IS NULL OR now IS DISTINCT FROM quote AS is_stale FROM placed JOIN ends USING (doc_id) LEFT JOIN now USING (doc_id, id)""")
 def reanchor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lines.text_lines(table(spark, sf_dir, "documents"), "doc_id")
     after = _edited(before).select("doc_id", "src", F.col("text").alias("quote"), F.lit("p").alias("style"))
@@ -296,11 +313,12 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.status_counts(comments, ["event_type"])
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR || ' of ' || l_returnflag AS label, CASE WHEN l_linenumber <= 26 THEN chr(64 + l_linenumber) ELSE '?' END AS letters, l_linenumber AS back FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR || ' of ' || l_returnflag AS label, CASE WHEN l_linenumber <= 26 THEN chr(64 + l_linenumber) ELSE '?' END AS letters, l_linenumber AS back,
+(l_quantity + 12345678.5)::DECIMAL(20,1)::VARCHAR AS big, regexp_replace('0.0000' || (l_quantity::BIGINT + 100), '0+$', '') AS small FROM lineitem""")
 def concat_and_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = numbers.col_letters(F.col("l_linenumber"))
     label = F.concat(numbers.js_number_text(F.col("l_quantity")), F.lit(" of "), F.col("l_returnflag"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), letters.alias("letters"), numbers.col_index(letters).alias("back"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), letters.alias("letters"), numbers.col_index(letters).alias("back"), numbers.js_number_text(F.col("l_quantity") + 12345678.5).alias("big"), numbers.js_number_text((F.col("l_quantity") + 100) / 10_000_000).alias("small"))
 
 
 # Readers, the formula engine and streaming over the same tables.
@@ -333,7 +351,7 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.rows import read_rows
 
     source = F.concat(F.lit("# Order "), F.col("o_orderkey"), F.lit("\n\n* status "), F.col("o_orderstatus"), F.lit("\n* priority **"), F.col("o_orderpriority"), F.lit("**"))
-    rows = read_rows(table(spark, sf_dir, "orders").select("o_orderkey", source.alias("md")), "o_orderkey", "md", read)
+    rows = read_rows(read_table(spark, sf_dir, "orders", spread=True).select("o_orderkey", source.alias("md")), "o_orderkey", "md", read)
     items = F.array_sort(F.collect_list(F.when(F.col("style") == "li", F.struct("src", "text"))))
     return rows.groupBy("o_orderkey").agg(F.max(F.when(F.col("style") == "h1", F.col("text"))).alias("title"), F.count_if(F.col("style") == "li").alias("items"), F.array_join(F.transform(items, lambda x: x.text), "; ").alias("said"))
 
@@ -383,7 +401,13 @@ def table_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS place, event_type AS said, CASE event_type WHEN 'click' THEN 'save' WHEN 'view' THEN 'queue' WHEN 'purchase' THEN 'send' ELSE 'done' END AS event,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT place, 0::BIGINT AS k, NULL::VARCHAR AS status, NULL::VARCHAR AS text, NULL::BIGINT AS batch FROM e
+UNION ALL SELECT f.place, e.k, CASE WHEN event = 'save' AND (status IS NULL OR status = 'draft') THEN 'draft' WHEN event = 'queue' AND status = 'draft' THEN 'queued' WHEN event = 'send' AND status IN ('draft', 'queued') THEN 'sent'
+WHEN event = 'done' AND status = 'sent' THEN NULL ELSE status END, CASE WHEN event = 'save' AND (status IS NULL OR status = 'draft') THEN said WHEN event = 'done' AND status = 'sent' THEN NULL ELSE text END,
+CASE WHEN event = 'send' AND status IN ('draft', 'queued') THEN 1 WHEN event = 'done' AND status = 'sent' THEN NULL ELSE batch END FROM f JOIN e ON e.place = f.place AND e.k = f.k + 1)
+SELECT place, status, text, batch FROM f WHERE k = (SELECT max(k) FROM e WHERE e.place = f.place)""")
 def comment_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.watch import fold_comments
 
@@ -427,15 +451,16 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT page_id, '/home/ann/work/' || CASE WHEN page_id % 3 = 0 THEN '.git/' ELSE '' END || page_id || '.md' AS path FROM pages)
-SELECT page_id, path, page_id % 3 <> 0 AS allowed, '/home/ann/work' = '/home/ann' AS too_broad, '/home/ann/notes/' || page_id || '.md' AS typed FROM p""")
+SELECT page_id, path, page_id % 3 <> 0 AS allowed, page_id % 5 NOT IN (1, 4) AS too_broad, '/home/ann/notes/' || page_id || '.md' AS typed FROM p""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import paths
 
     hidden = F.when(F.col("page_id") % 3 == 0, ".git/").otherwise("")
     path = F.concat(F.lit("/home/ann/work/"), hidden, F.col("page_id"), F.lit(".md"))
     root = F.lit("/home/ann/work")
+    folder = F.element_at(F.array(*map(F.lit, ("/home/ann", "/home/ann/work", "C:/Users", "//host/share", "/mnt/c/Users/ann/work"))), (F.col("page_id") % 5 + 1).cast("int"))
     typed = F.concat(F.lit(" '~/notes/x/../"), F.col("page_id"), F.lit(".md' "))
-    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), paths.is_allowed(path, root).alias("allowed"), paths.is_too_broad(root).alias("too_broad"), paths.typed_path(typed, root).alias("typed"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), paths.is_allowed(path, root).alias("allowed"), paths.is_too_broad(folder).alias("too_broad"), paths.typed_path(typed, root).alias("typed"))
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, 0 AS id, 0 AS "from", least(2, max(src)) AS "to", CASE WHEN max(src) = 0 THEN 'line 1' ELSE 'lines 1–' || (least(2, max(src)) + 1) END AS label,
@@ -444,3 +469,75 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.text_lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "src", "anchor", F.lit("p").alias("style"), F.col("text").alias("quote"))
     asked = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("from"), F.lit(2).alias("to"))
     return lines.describe_selections(rows, asked, "doc_id")
+
+
+def _made(spark: SparkSession, sf_dir: str, make: Callable[[int, str, int], bytes]) -> DataFrame:
+    """A file for each nation, made of its key, name and region."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"n_nationkey": frame["n_nationkey"], "content": [make(int(k), n, int(r)) for k, n, r in zip(frame["n_nationkey"], frame["n_name"], frame["n_regionkey"], strict=True)]})
+
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+    return nation.mapInPandas(run, "n_nationkey long, content binary")
+
+
+@query("SELECT n_nationkey, 'Nation ' || n_name AS first, 'In region ' || n_regionkey AS last, 2::BIGINT AS n FROM nation")
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import samples
+    from ..sources.rows import read_rows
+    from ..sources.word import word_rows as read
+
+    def paragraph(text: str) -> str:
+        return f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    made = _made(spark, sf_dir, lambda k, name, region: samples.document(paragraph(f"Nation {name}") + paragraph(f"In region {region}")))
+    rows = read_rows(made, "n_nationkey", "content", lambda x: read(bytes(x))).where("style = 'p'")
+    return rows.groupBy("n_nationkey").agg(F.min_by("text", "src").alias("first"), F.max_by("text", "src").alias("last"), F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, 'Nation ' || n_name AS first, 'In region ' || n_regionkey AS last FROM nation")
+def pdf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import samples
+    from ..sources.pdf import pdf_rows as read
+    from ..sources.rows import read_rows
+
+    made = _made(spark, sf_dir, lambda k, name, region: samples.pdf([[f"Nation {name}"], [f"In region {region}"]], packed=k % 2 == 0, broken=k % 3 == 0))
+    rows = read_rows(made, "n_nationkey", "content", lambda x: read(bytes(x))).where("style = 'p'")
+    return rows.groupBy("n_nationkey").agg(F.min_by("text", "src").alias("first"), F.max_by("text", "src").alias("last"))
+
+
+@query("SELECT n_nationkey, 10 * n_nationkey + n_regionkey AS result, n_name AS name, (100 * n_nationkey)::BIGINT || '%' AS percent FROM nation")
+def excel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files, samples
+
+    def book(k: int, name: str, region: int) -> bytes:
+        return samples.workbook({"S": f'<row r="1"><c><v>{k}</v></c><c><v>{region}</v></c><c t="s"><v>0</v></c><c><f>A1*10+B1</f></c><c s="1"><v>{k}</v></c></row>'}, formats=["0%"], shared=[f"<t>{name}</t>"])
+
+    made = _made(spark, sf_dir, book).select(F.col("n_nationkey").cast("string").alias("path"), F.lit("xlsx").alias("ext"), "content", F.lit(None).cast("string").alias("problem"))
+    found = files.cells(made).groupBy(F.col("path").cast("long").alias("n_nationkey"))
+    return found.agg(F.max(F.when(F.col("c") == 3, F.col("x"))).cast("long").alias("result"), F.max(F.when(F.col("c") == 2, F.col("v"))).alias("name"), F.replace(F.max(F.when(F.col("c") == 4, F.col("shown"))), F.lit(","), F.lit("")).alias("percent"))
+
+
+@query("SELECT n_nationkey, 'png' AS kind, n_nationkey + 1 AS width, n_regionkey + 1 AS height FROM nation")
+def picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import pictures, samples
+
+    made = _made(spark, sf_dir, lambda k, name, region: samples.png(k + 1, region + 1, lambda x, y: (x, y, 0)))
+    size = pictures.png_size(F.col("content"))
+    return made.select("n_nationkey", pictures.picture_kind(F.col("content")).alias("kind"), size.width.alias("width"), size.height.alias("height"))
+
+
+@query("""SELECT n_nationkey || CASE n_nationkey % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.json' WHEN 2 THEN '.csv' ELSE '.md' END AS path, CASE n_nationkey % 4 WHEN 0 THEN 'h2' WHEN 3 THEN 'h1' END AS style,
+CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN '{"name": "' || n_name || '"}' WHEN 2 THEN 'name,' || n_name ELSE n_name END AS text, CASE n_nationkey % 4 WHEN 0 THEN 'content[0] (under "' || n_name || '")' ELSE 'line 1' || CASE WHEN n_nationkey % 4 = 3 THEN ' (under "' || n_name || '")' ELSE '' END END AS anchor FROM nation""")
+def dispatched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of text goes to its reader: pages by what a .json file holds, other texts as lines."""
+    from ..sources import files
+
+    kind, name = F.col("n_nationkey") % 4, F.col("n_name")
+    page = F.concat(F.lit('{"type":"doc","content":[{"type":"heading","attrs":{"level":2},"content":[{"type":"text","text":"'), name, F.lit('"}]}]}'))
+    content = F.when(kind == 0, page).when(kind == 1, F.concat(F.lit('{"name": "'), name, F.lit('"}'))).when(kind == 2, F.concat(F.lit("name,"), name)).otherwise(F.concat(F.lit("# "), name))
+    ext = F.when(kind < 2, "json").when(kind == 2, "csv").otherwise("md")
+    found = table(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey"), F.lit("."), ext).alias("path"), ext.alias("ext"), F.lit("text").alias("kind"), F.length(content).cast("long").alias("size"), F.to_binary(content, F.lit("utf-8")).alias("content"), F.lit(None).cast("string").alias("problem"))
+    return files.document_rows(found).where("src = 0").select("path", "style", "text", "anchor")

@@ -64,12 +64,44 @@ READERS: dict[str, Callable[[bytes], list[dict]]] = {
 }
 
 
+def _reader_of(files: DataFrame) -> DataFrame:
+    """``files`` without problems and the name of their reader, null if they are shown as lines: a .json file that holds a
+    page is read as one, and texts beyond the limit of formatting have none."""
+    text = F.col("content").cast("string")
+    page = (F.get_json_object(text, "$.type") == "doc") & F.get_json_object(text, "$.content").isNotNull()
+    name = F.when(F.col("ext") == "json", F.when(page, "adf")).when(F.col("ext").isin(*READERS), F.col("ext"))
+    good = files.where(F.col("problem").isNull())
+    return good.withColumn("reader", F.when((F.col("kind") != "text") | (F.col("size") <= schema.FORMATTED_LIMIT), name))
+
+
+def document_rows(files: DataFrame, most: int = schema.ROW_LIMIT) -> DataFrame:
+    """The rows of every document, by its reader or as lines; the first ``most`` of each, as notes() says."""
+    from ..operators.lines import text_lines
+
+    plain = _reader_of(files).where(F.col("reader").isNull() & (F.col("kind") == "text"))
+    plain = text_lines(plain.select("path", F.col("content").cast("string").alias("text")), "path", most=None)
+    return rows(files).unionByName(plain.withColumn("unit", F.lit("line")), allowMissingColumns=True).where(F.col("src") < most)
+
+
+def notes(files: DataFrame, most: int = schema.ROW_LIMIT) -> DataFrame:
+    """(path, note) of what document_rows() leaves out of a document or shows otherwise than asked."""
+    text = F.col("content").cast("string")
+    seen = _reader_of(files).where("kind = 'text'")
+    big = seen.where(F.col("size") > schema.FORMATTED_LIMIT).select("path", F.lit(1).alias("place"), F.lit("This file is over 2 MB, so it is shown as plain text.").alias("said"))
+    long_ = seen.where(F.col("reader").isNull() & F.exists(F.split(text, "\n"), lambda line: F.length(line) > schema.LINE_LIMIT))
+    long_ = long_.select("path", F.lit(2).alias("place"), F.lit(f"Lines over {schema.LINE_LIMIT:,} characters are cut short.").alias("said"))
+    counted = document_rows(files, 1 << 30).groupBy("path").agg((F.max("src") + 1).alias("n")).where(F.col("n") > most)
+    capped = counted.select("path", F.lit(3).alias("place"), F.format_string(f"Only the first {most:,} of %,d rows are shown.", "n").alias("said"))
+    said = big.unionByName(long_).unionByName(capped).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "said"))).alias("all"))
+    return said.select("path", F.array_join(F.transform("all", lambda x: x.said), " ").alias("note"))
+
+
 def rows(files: DataFrame) -> DataFrame:
-    """The rows of all documents that have a reader; larger texts are left to plain_lines()."""
+    """The rows of all documents that have a reader."""
     out = None
-    good = files.where(F.col("problem").isNull() & ((F.col("kind") != "text") | (F.col("size") <= schema.FORMATTED_LIMIT)))
+    good = _reader_of(files)
     for ext, reader in READERS.items():
-        part = read_rows(good.where(F.col("ext") == ext), "path", "content", reader)
+        part = read_rows(good.where(F.col("reader") == ext), "path", "content", reader)
         out = part if out is None else out.unionByName(part)
     return out
 

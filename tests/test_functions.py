@@ -146,3 +146,46 @@ def test_file_scan(spark, tmp_path):
     assert [r.path.rpartition("/")[2] for r in rows if r.style == "error"] == ["c.docx"]
     assert sorted((r.c, r.x, r.shown) for r in files.cells(found).collect()) == [(0, 2.0, "2"), (1, 6.0, "6")]
     assert files.plain_lines(found).count() == 3
+
+
+def test_nearest_rows_choose_by_distance_then_place(spark):
+    rows = spark.createDataFrame([(1, i, q, "p") for i, q in enumerate("abaab")] + [(1, 9, "a", "space")], "d int, src int, quote string, style string")
+    wanted = spark.createDataFrame([(1, 1, "a", 1, 0), (1, 2, "a", 0, 1), (1, 3, "b", 9, 0), (1, 4, "b", 0, 5), (1, 5, "a", 2, 3), (1, 6, "z", 0, 0)], "d int, id int, quote string, near int, floor int")
+    assert {r.id: r.src for r in changes.nearest_rows(rows, wanted, "d").collect()} == {1: 0, 2: 2, 3: 4, 5: 3}
+
+
+@pytest.mark.parametrize(("folder", "want"), [("/", True), ("", True), ("C:/", True), ("C:", True), ("//host/share", True), ("//host/share/x", False), ("/home", True), ("/Users/ann/", True), ("/home/ann/work", False), ("/mnt/c/Users/ann", True), ("/mnt/c/work", False), ("/var/home", True), ("/root", True), ("/root/x", False), ("/var/root", True), ("D:/Users", True), ("D:/root", False), ("/srv", False)])
+def test_too_broad_folders(spark, folder, want):
+    from leafspark.functions import paths
+
+    assert one(spark, folder, paths.is_too_broad) is want
+
+
+def test_typed_paths(spark):
+    from leafspark.functions import paths
+
+    typed = lambda text, folder: one(spark, text, lambda c: paths.typed_path(c, F.lit(folder)))
+    assert typed("'~/a b.md'", "/home/ann/work") == "/home/ann/a b.md" and typed("~", "/root/x") == "/root" and typed("~x/y", "/home/ann/w") == "/home/ann/w/~x/y"
+    assert typed('"', "/w") == '/w/"' and typed("../x", "C:/Users/bo/p") == "C:/Users/bo/x" and typed("~\\d.md", "C:/Users/bo/p") == "C:/Users/bo/d.md"
+    assert one(spark, "a\\ b\\(1\\).md", paths.unescaped) == "a b(1).md" and one(spark, "a\\\\\\ b", paths.unescaped) == "a\\ b"
+    assert one(spark, "C:\\my docs", paths.unescaped) is None and one(spark, "plain", paths.unescaped) is None
+
+
+@pytest.mark.parametrize(("x", "want"), [(12345678.5, "12345678.5"), (0.00001, "0.00001"), (1e-7, "1e-7"), (-2.5e-9, "-2.5e-9"), (1e21, "1e+21"), (1.5e300, "1.5e+300"), (123456789012345680.0, "123456789012345680"), (0.1, "0.1"), (-0.0, "0"), (5.0, "5"), (100.0, "100")])
+def test_numbers_joined_to_text(spark, x, want):
+    assert one(spark, x, numbers.js_number_text, "double") == want
+
+
+def test_rows_of_every_kind_and_what_is_left_out(spark, tmp_path):
+    from leafspark.sources import files
+
+    (tmp_path / "a.json").write_text('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"page"}]}]}')
+    (tmp_path / "b.json").write_text('{"x": 1}')
+    (tmp_path / "c.yaml").write_text("k: v\n" * 30)
+    (tmp_path / "d.txt").write_text("x" * 20_001)
+    found = files.scan(spark, str(tmp_path))
+    rows = files.document_rows(found, most=20).collect()
+    name = lambda p: p.rpartition("/")[2]
+    assert {(name(r.path), r.style, r.text) for r in rows if r.src == 0 and r.path[-1] != "t"} == {("a.json", "p", "page"), ("b.json", None, '{"x": 1}'), ("c.yaml", None, "k: v")}
+    assert sum(name(r.path) == "c.yaml" for r in rows) == 20
+    assert {name(r.path): r.note for r in files.notes(found, most=20).collect()} == {"c.yaml": "Only the first 20 of 30 rows are shown.", "d.txt": "Lines over 20,000 characters are cut short."}
