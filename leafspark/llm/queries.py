@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from . import chat, embed_dedup, langid, mixing, packing, secrets_scan, sharding, substring_dedup, superminhash, weak_quality
 from .oracles import oracle_sql
 
@@ -14,7 +15,7 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, spread=name == "documents")
 
 
 def tokenizer_path() -> str:
