@@ -10,7 +10,7 @@ From each sentence a span runs over several consecutive sentences: two at least,
 back from each sentence's end in the same way. Every span is hashed over its words (case kept, whitespace not). The least
 document of each hash is found over the whole corpus, by doc_id; a span is a repeat if a lesser document holds it or it
 stood earlier in its own text. A repeated span at an end of such a run grows outwards word by word, up
-to ``GAP`` words, as long as the words are those around the span's first occurrence: so a passage goes to its ends and not only to
+to ``GROWTH`` words, as long as the words are those around the span's first occurrence: so a passage goes to its ends and not only to
 the cuts nearest to them. Sentences and words that repeats cover are removed; the first occurrence stays.
 
 A document sends each hash once, minima are taken before the shuffle, and only hashes of several documents are joined
@@ -37,8 +37,8 @@ from .store import materialize, release
 
 MIN_WORDS = 20
 MIN_SENTENCES = 2
-#: Words of which one ends a clause, and so the most by which a repeat is grown to a side.
-GAP = 16
+#: Words of which one ends a clause, and words by which a repeat may grow to a side.
+GAP, GROWTH = 16, 8
 _LAST = 2**63 - 1
 
 _STOP = np.zeros(256, bool)
@@ -175,20 +175,21 @@ def _around(s: dict, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     """16 bits of each of the words before and after a run of words, outwards, within its text."""
     text = s["owner"][a]
     low, high = s["before"][text], s["before"][text + 1]
-    front = s["hash"][max(low, a - GAP) : a][::-1]
-    return front.astype(np.uint16), s["hash"][b : min(high, b + GAP)].astype(np.uint16)
+    front = s["hash"][max(low, a - GROWTH) : a][::-1]
+    return front.astype(np.uint16), s["hash"][b : min(high, b + GROWTH)].astype(np.uint16)
 
 
 def _send_contexts(min_words: int):
-    """(span, before, after): the words around the first occurrence of each of a document's spans that are asked for."""
+    """(span, first, before, after): the words around the first occurrence of each of a document's spans that are asked for,
+    and the document's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column("spans")
+            asked, keys = batch.column("spans"), batch.column("holder").to_pylist()
             for row, end, data, offsets in text_slices(batch.column("text")):
                 s = _spans(data, offsets, min_words)
                 parts = np.searchsorted(s["of"], np.arange(end - row + 1))
-                span, before, after = [], [], []
+                span, key, before, after = [], [], [], []
                 for i in range(end - row):
                     wanted = asked[row + i].values.to_numpy().view(U64)
                     seen, first = np.unique(s["span"][parts[i] : parts[i + 1]], return_index=True)
@@ -196,9 +197,10 @@ def _send_contexts(min_words: int):
                         at = parts[i] + first[k]
                         front, back = _around(s, s["a"][at], s["b"][at])
                         span.append(int(seen[k].view(np.int64)))
+                        key.append(keys[row + i])
                         before.append(front.tobytes())
                         after.append(back.tobytes())
-                yield pa.RecordBatch.from_pydict({"span": pa.array(span, pa.int64()), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"span": pa.array(span, pa.int64()), "first": pa.array(key, pa.int64()), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
 
     return run
 
@@ -312,12 +314,11 @@ def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     first = spans.groupBy("span").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
     first = materialize(first.select("span", "first"))
     asked = materialize(first.groupBy(F.col("first").alias("holder")).agg(F.collect_list("span").alias("spans")))
-    release(spark)
-    holders = texts.join(asked, F.col("key") == F.col("holder")).select("text", "spans")
-    contexts = holders.mapInArrow(_send_contexts(min_words), "span long, before binary, after binary")
-    contexts = contexts.groupBy("span").agg(F.first("before").alias("before"), F.first("after").alias("after"))
-    contexts = materialize(first.join(contexts, "span"))
-    release(spark, asked, first)
+    release(spark, first)
+    holders = texts.join(asked, F.col("key") == F.col("holder")).select("holder", "text", "spans")
+    contexts = holders.mapInArrow(_send_contexts(min_words), "span long, first long, before binary, after binary")
+    contexts = materialize(contexts.dropDuplicates(["span"]))  # equal rows send the same
+    release(spark, asked)
     later = spans.join(contexts, "span").where("key <> first").groupBy(F.col("key").alias("holder"))
     later = materialize(later.agg(F.collect_list(F.struct("span", "before", "after")).alias("spans")))
     release(spark, contexts)
