@@ -10,6 +10,8 @@ from .lines import is_content
 
 CHANGES = 2_000
 SHIFT = 50
+#: Rows to a block, in which comments look for their rows.
+BLOCK = 128
 
 
 
@@ -82,17 +84,25 @@ def reanchor_rows(rows: DataFrame, comments: DataFrame, key: str) -> DataFrame:
 
 
 def reanchor_shift(values: DataFrame, comments: DataFrame, key: str, most: int = SHIFT) -> DataFrame:
-    """(id, shift) of comments (key, id, from, to, was): 0 if the rows' values are as they were; otherwise the one shift
+    """(key, id, shift) of comments (key, id, from, to, was): 0 if the rows' values are as they were; otherwise the one shift
     of up to ``most`` rows at which they are, or 0 if none or several match. ``values`` has (key, r, value), a row's
-    values joined; each comment looks at its own neighbourhood by an equi-join on the row number."""
-    shift = F.explode(F.sequence(F.lit(-most), F.lit(most)))
-    tried = comments.select(key, "id", "from", "to", "was", shift.alias("shift")).where("from + shift >= 0")
-    tried = tried.select(key, "id", "was", "shift", F.expr("to - from + 1").alias("rows"), F.explode(F.expr("sequence(from + shift, to + shift)")).alias("r"))
-    there = tried.join(values, [key, "r"]).groupBy(key, "id", "was", "shift", "rows").agg(F.array_sort(F.collect_list(F.struct("r", "value"))).alias("got"))
-    now = F.array_join(F.transform("got", lambda x: x.value), "\n")
-    hits = there.where((F.size("got") == F.col("rows")) & (now == F.col("was"))).groupBy(key, "id").agg(F.count("*").alias("n"), F.min("shift").alias("shift"), F.bool_or(F.col("shift") == 0).alias("here"))
-    out = comments.select(key, "id").join(hits, [key, "id"], "left")
-    return out.select(key, "id", F.when(F.col("here") | (F.col("n") != 1), 0).otherwise(F.coalesce("shift", F.lit(0))).alias("shift"))
+    values joined and each r once in a key. Rows go in blocks; each comment takes the blocks around it once and tries its
+    shifts on that array, so there are no rows for shifts. What explode makes is not in Spark's estimate of a table's size:
+    joins are by merging, lest such a table be broadcast."""
+    n, low, high = F.col("n"), F.greatest(F.col("from") - most, F.lit(0)), F.col("to") + most
+    asked = comments.where("to >= from").select(key, "id", F.col("from").alias("a"), F.expr("int(to - from + 1)").alias("n"), "was", low.alias("low"), high.alias("high")).where("low <= high")
+    near = asked.withColumn("block", F.explode(F.expr(f"sequence(low div {BLOCK}, high div {BLOCK})")))
+    held = values.groupBy(key, F.expr(f"r div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("r", "value")).alias("held"))
+    there = near.join(held.hint("merge"), [key, "block"]).groupBy(*asked.columns).agg(F.flatten(F.collect_list("held")).alias("rows"))
+    rows = F.array_sort(F.filter("rows", lambda x: x.r.between(F.col("low"), F.col("high"))))
+    there = there.withColumn("rows", rows).where("size(rows) >= n")
+    whole = lambda i: F.get("rows", i + n - 1).r - F.get("rows", i).r == n - 1
+    now = lambda i: F.array_join(F.transform(F.slice("rows", i + 1, n), lambda x: x.value), "\n")
+    starts = F.filter(F.sequence(F.lit(0), F.size("rows") - n), lambda i: whole(i) & (now(i) == F.col("was")))
+    hits = there.select(key, "id", F.transform(starts, lambda i: (F.get("rows", i).r - F.col("a")).cast("int")).alias("shifts")).where("size(shifts) > 0")
+    out = comments.select(key, "id").join(hits.hint("merge"), [key, "id"], "left")
+    one = (F.size("shifts") == 1) & ~F.array_contains("shifts", 0)
+    return out.select(key, "id", F.when(one, F.get("shifts", F.lit(0))).otherwise(0).alias("shift"))
 
 
 def quoted_values(quote: Column) -> Column:

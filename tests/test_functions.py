@@ -1,8 +1,10 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from leafspark import catalog
 from leafspark.functions import formulas, numbers
 from leafspark.functions import text as T
 from leafspark.operators import changes, lines, prompt
@@ -76,6 +78,41 @@ def test_row_changes_and_relocation(spark):
     assert got == {1: (4, 4, False), 2: (1, 1, True), 3: (2, 3, False), 4: (2, 3, True)}
 
 
+def test_shifts_match_brute_force(spark):
+    """Gaps, null values and keys, values with line ends, repeats, ranges over several blocks and backwards, places left of row 0; nothing is broadcast."""
+    pick = random.Random(5)
+    values = [(k, r, pick.choice(["a", "b", "a\nb", None])) for k in range(30) for r in range(pick.choice([3, 60, 400])) if pick.random() < 0.97]
+    values += [(30, r, f"v{r}") for r in range(600)] + [(None, r, "a") for r in range(9)]
+    held = {(k, r): v for k, r, v in values}
+
+    def now(k, a, b):
+        got = [held[k, r] for r in range(a, b + 1) if (k, r) in held]
+        return "\n".join(v for v in got if v is not None) if len(got) == b - a + 1 and got else None
+
+    comments = [(30, 1, 100, 420, now(30, 130, 450)), (30, 2, 100, 420, now(30, 151, 471)), (30, 3, 0, 1, now(30, 50, 51)), (30, 4, 0, 1, now(30, 51, 52)), (30, 5, -2, -1, now(30, 0, 1)), (30, 6, 9, 8, "v9"), (30, 7, 5, 6, None), (30, 8, 5, None, "v5"), (None, 9, 3, 4, "a\na"), (99, 10, 0, 1, "a\nb")]
+    for i in range(400):
+        k, a, n = pick.randrange(30), pick.randrange(300), pick.choice([1, 2, 5, 9])
+        comments.append((k, 100 + i, max(0, a + pick.randint(-60, 60)), 0, now(k, a, a + n - 1)))
+        comments[-1] = (*comments[-1][:3], comments[-1][2] + n - 1, comments[-1][4])
+
+    def shift(k, a, b, was):
+        fits = [s for s in range(-50, 51) if None not in (k, b, was) and a + s >= 0 and now(k, a + s, b + s) == was]
+        return fits[0] if len(fits) == 1 and 0 not in fits else 0
+
+    want = {i: shift(k, a, b, was) for k, i, a, b, was in comments}
+    assert (want[1], want[2], want[3], want[4], want[5], want[9]) == (30, 0, 50, 0, 2, 0) and len(set(want.values())) > 30
+    frame = spark.createDataFrame(comments, "k int, id int, `from` int, `to` int, was string")
+    got = changes.reanchor_shift(spark.createDataFrame(values, "k int, r int, value string"), frame, "k")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r["shift"] for r in got.collect()} == want and got.count() == len(comments)
+
+
+def test_shifts_of_orders_broadcast_nothing(spark):
+    """A table that explode made longer was broadcast by its size before, which took the driver's memory."""
+    plan = catalog.queries()["reanchor_grid_shift"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_labels(spark):
     frame = spark.createDataFrame([("line 3", "line 7"), ('lines 3–4 (under "H")', 'lines 6–9 (under "X")'), ("paragraph 2", "paragraph 5"), ("<p> at line 1", "<p> at line 2"), ("line 3", "line 3")], "a string, b string")
     got = [r.y for r in frame.select(lines.merged_label(F.col("a"), F.col("b")).alias("y")).collect()]
