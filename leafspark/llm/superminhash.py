@@ -298,7 +298,7 @@ def _grouped(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS,
         open_ = materialize(rest.join(flagged, ["hub", "node"]).join(sets, "node").select("hub", "node", "group", "n", "sketch", "items"))
         more = materialize(_tiles(open_).mapInArrow(_compare(percent, most), "a long, b long"))
         if not more.isEmpty():
-            groups = connected_components(links.unionAll(more))
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     named = nodes.select("node", "f", "g", "doc_id").join(groups, "node", "left").select("f", "g", "doc_id", F.coalesce("component", "node").alias("component"))
     least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
