@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .store import materialize
 
-#: Edges that one task contracts alone, in about 100 MB; more are left to rounds over all tasks.
+#: Edges that one task contracts alone, in some 50 MB; more are left to rounds over all tasks.
 TASK_EDGES = 1 << 18
 
 
