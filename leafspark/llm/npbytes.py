@@ -6,7 +6,8 @@ characters are never split. All hashes are 64-bit and depend on content only, ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Hand memory that is free to the system; allocators keep it for themselves."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, with give_back() at its end: else a Python worker that waits for its next task, of whatever stage, holds
+    the most that a task of its took, beside its executor's JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 _POWERS = np.multiply.accumulate(np.full(_WRAP, _BASE, U64))
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .npbytes import U64, mix, runs, shingle_sets, text_slices
+from .npbytes import U64, giving_back, mix, runs, shingle_sets, text_slices
 from .store import materialize
 
 SLOTS = 240
@@ -133,7 +133,7 @@ def _sign(k: int, slots: int, bands: int):
                 f, g = _fingerprints(elements, at)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[row:end], "mark": batch.column(2)[row:end], "n": pa.array(np.diff(at)), "f": f, "g": g, "bands": _lists(_bands(signature, bands)), "sketch": _lists(_sketches(signature))})
 
-    return run
+    return giving_back(run)
 
 
 def _sets(k: int):
@@ -145,7 +145,7 @@ def _sets(k: int):
                 f, g = _fingerprints(elements, at)
                 yield pa.RecordBatch.from_pydict({"f": f, "g": g, "items": values})
 
-    return run
+    return giving_back(run)
 
 
 def _possible(run: pa.RecordBatch, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def _flag(percent: int, most: int):
         if hubs:
             yield pa.RecordBatch.from_pydict({"hub": np.concatenate(hubs), "node": np.concatenate(nodes)})
 
-    return run
+    return giving_back(run)
 
 
 def _compare(percent: int, most: int):
@@ -221,7 +221,7 @@ def _compare(percent: int, most: int):
                         links.append((int(node[x]), int(node[y])))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return run
+    return giving_back(run)
 
 
 def _tiles(members: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -123,3 +125,26 @@ def test_clashing_columns_stay(spark):
     out = S.drop_near_duplicates(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
     assert sorted((r.doc_id, r.component_id) for r in S.minhash_groups(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+_IDLE = """
+import pathlib, re
+import pyarrow as pa, pyarrow.parquet as pq
+from leafspark.llm import superminhash as S
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+def batches():
+    for b in pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(10_000, columns=["doc_id", "text"]):
+        yield pa.RecordBatch.from_arrays([*b.columns, b.column(0)], ["doc_id", "text", "mark"])
+
+print(sum(x.num_rows for x in S._sign(5, 240, 40)(batches())), held())
+"""
+
+
+def test_an_idle_worker_holds_no_memory_of_its_last_task():
+    """Two workers that kept 110 MB each after signing stood beside every later stage's JVM."""
+    out = subprocess.run([sys.executable, "-c", _IDLE], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == 10_000
+    assert float(out[1]) < 100
